@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.llm import conversations as chat
+from tracewell.llm import packing, tokenizer
 from tracewell.runtime import table
 
 
@@ -24,6 +25,24 @@ def p5_verdicts(spark, d):
     return chat.turns(table(spark, d, "agent_messages"))[1]
 
 
+def p6_ids(spark, d):
+    """The ids of every document's text."""
+    return tokenizer.encoded(table(spark, d, "documents"))
+
+
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p7_containers(spark, d):
+    """Every document, or piece of one above the capacity, with its container."""
+    return packing.packed(tokenizer.token_counts(table(spark, d, "documents")), CAPACITY)
+
+
+def p7_fill(spark, d):
+    return packing.summary(p7_containers(spark, d), CAPACITY)
+
+
 _UNSEEN = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 _TURNS = rf"""
 WITH m AS (SELECT DISTINCT id, session_id, role, content, created_at FROM agent_messages WHERE session_id IS NOT NULL),
@@ -44,7 +63,7 @@ verdict AS (
   SELECT session_id, bool_and(who <> 'x' AND ns IS NOT NULL) AS named, bool_and(coalesce(who0 <> who, who = 'u')) AS runs, arg_max(who, turn_no) = 'a' AS replied FROM fresh GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_verdicts)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
 SQL = {
     "p5_found": _TURNS + "SELECT f.session_id, f.turn_no, f.id AS message_id FROM fresh f JOIN verdict v USING (session_id) WHERE v.named AND v.runs AND v.replied",
     "p5_verdicts": _TURNS + """SELECT s.session_id, coalesce(v.named AND v.runs AND v.replied, false) AS kept,
