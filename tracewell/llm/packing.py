@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with items.
 
 Shortest-pack-first over the histogram of lengths: lengths go from the longest to the shortest; the items of a length are added
-to the packs with the most room left, as many at once as there are alike packs, and open new packs when none has room. What
+to the packs with the most room left, as many at once as there are alike packs; what finds no room opens packs of its own. What
 comes out are packing patterns with counts, at most a few per length and never more with more items. Containers are numbered
 pattern by pattern, so every (length, rank of the item among its length) lies in one interval of a table that the capacity
 bounds; ranks are counted inside hash salts and offset by the salts' sizes, so a length that a third of the items share is not
@@ -30,26 +30,32 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[i
     """(count, lengths) of the packs for so many items of each length; lengths from long to short."""
     packs: dict[int, list[tuple[int, tuple | None]]] = {}
     rooms: list[int] = []
+
+    def keep(room: int, count: int, pack: tuple | None) -> None:
+        if count:
+            if room not in packs:
+                packs[room] = []
+                bisect.insort(rooms, room)
+            packs[room].append((count, pack))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        while left:
-            if rooms and rooms[-1] >= length:
-                room = rooms[-1]
-                count, pack = packs[room].pop()
-                if count > left:
-                    packs[room].append((count - left, pack))
-                if not packs[room]:
-                    del packs[room]
-                    rooms.pop()
-                n = min(count, left)
-            else:
-                room, n, pack = capacity, left, None
-            left -= n
-            rest = room - length
-            if rest not in packs:
-                packs[rest] = []
-                bisect.insort(rooms, rest)
-            packs[rest].append((n, (pack, length)))
+        while left and rooms and rooms[-1] >= length:
+            room = rooms[-1]
+            count, pack = packs[room].pop()
+            if not packs[room]:
+                del packs[room]
+                rooms.pop()
+            keep(room, max(0, count - left), pack)
+            keep(room - length, min(count, left), (pack, length))
+            left -= min(count, left)
+        # What finds no room opens packs, each taking as many of this length as it holds before the next is opened.
+        each = capacity // length
+        for count, held in ((left // each, each), (1, left % each)):
+            pack = None
+            for _ in range(held):
+                pack = (pack, length)
+            keep(capacity - held * length, count if held else 0, pack)
     out = []
     for room in sorted(packs):
         for n, pack in packs[room]:
