@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.llm import conversations as chat
-from tracewell.llm import packing, tokenizer
+from tracewell.llm import packing, splitting, tokenizer
 from tracewell.runtime import table
 
 
+def p1_pieces(spark, d):
+    """The pieces of every item of intel_chunks_new that is above its limit."""
+    return splitting.pieces(*[table(spark, d, t) for t in ("intel_chunks_new", "chunk_limits", "documents")])
+
+
+def p1_found(spark, d):
+    """The items that come out in more than one piece."""
+    return p1_pieces(spark, d).where(F.col("piece_no") == 1).select("chunk_id")
+
+
 def p5_found(spark, d):
     """The turns of the conversations that are kept."""
     return chat.conversations(table(spark, d, "agent_messages")).select("session_id", "turn_no", F.col("id").alias("message_id"))
@@ -63,8 +73,13 @@ verdict AS (
   SELECT session_id, bool_and(who <> 'x' AND ns IS NOT NULL) AS named, bool_and(coalesce(who0 <> who, who = 'u')) AS runs, arg_max(who, turn_no) = 'a' AS replied FROM fresh GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
 SQL = {
+    "p1_found": r"""
+WITH item AS (SELECT * FROM intel_chunks_new WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, id DESC) = 1)
+SELECT i.chunk_id FROM item i JOIN documents d ON d.doc_id = i.owner_row_id
+JOIN chunk_limits l ON lower(l.granularity) = lower(regexp_replace(i.granularity, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))
+WHERE least(i.end_byte, strlen(d.text)) - greatest(i.start_byte, 0) > l.max_bytes""",
     "p5_found": _TURNS + "SELECT f.session_id, f.turn_no, f.id AS message_id FROM fresh f JOIN verdict v USING (session_id) WHERE v.named AND v.runs AND v.replied",
     "p5_verdicts": _TURNS + """SELECT s.session_id, coalesce(v.named AND v.runs AND v.replied, false) AS kept,
   CASE WHEN v.session_id IS NULL THEN 'empty' WHEN NOT v.named THEN 'unreadable' WHEN NOT v.runs THEN 'broken' WHEN NOT v.replied THEN 'no reply' END AS reason
