@@ -24,7 +24,7 @@ def test_pieces_cover(text, limit, overlap):
 def test_cuts_at_headings_and_paragraphs():
     part = "Sentence one is here. Sentence two is there.\n\n"
     content = ("# A\n\n" + part * 4 + "## B\n\n" + part * 4 + "## C\n\n" + part * 4).encode()
-    got = S.cut(content, 300, 0)
+    got = S.cut(content, 250, 0)
     assert [k for _, _, k in got] == ["heading", "heading", "end"]
     assert content[got[1][0] :].startswith(b"## B")
     fence = b"x" * 150 + b"\n\n```\n" + b"code line\n" * 12 + b"```\n\n" + b"y" * 150
