@@ -142,6 +142,7 @@ def oversized(items: DataFrame, limits: DataFrame, documents: DataFrame) -> Data
     rows = rows.groupBy("chunk_id").agg(newest).select("chunk_id", *[f"item.{c}" for c in kept])
     name = lambda c: F.lower(stripped(F.col(c)))
     limits = limits.select(name("granularity").alias("g"), "max_bytes", "overlap_bytes").where(F.col("max_bytes") > 0).groupBy("g").agg(F.min("max_bytes").alias("max_bytes"), F.min_by("overlap_bytes", "max_bytes").alias("overlap_bytes"))
+    rows = rows.where(F.col("start_byte").isNotNull())
     start = F.greatest(F.col("start_byte"), F.lit(0))
     rows = rows.withColumn("g", name("granularity")).withColumn("start", start).join(limits, "g").where(F.col("end_byte") - F.col("start") > F.col("max_bytes"))
     texts = documents.select(F.col("doc_id").alias("owner_row_id"), F.col("text").cast("binary").alias("whole")).where(F.octet_length("whole") > 0)
