@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.llm import conversations as chat
+from tracewell.llm import neighbours as near
 from tracewell.llm import packing, splitting, tokenizer
 from tracewell.runtime import table
 
@@ -19,6 +20,16 @@ def p1_found(spark, d):
     return p1_pieces(spark, d).where(F.col("piece_no") == 1).select("chunk_id")
 
 
+def p3_found(spark, d):
+    """Pairs with a cosine of at least 0.90, one being among the 10 most similar of the other."""
+    return near.similar_pairs(table(spark, d, "embedding_cache"), 10, 0.90)
+
+
+def p3_neighbours(spark, d):
+    """The 10 most similar others of every key."""
+    return near.neighbours(table(spark, d, "embedding_cache"), 10).select("key", "rank", "neighbour", F.round("cosine", 4).alias("cosine"))
+
+
 def p5_found(spark, d):
     """The turns of the conversations that are kept."""
     return chat.conversations(table(spark, d, "agent_messages")).select("session_id", "turn_no", F.col("id").alias("message_id"))
@@ -73,7 +84,7 @@ verdict AS (
   SELECT session_id, bool_and(who <> 'x' AND ns IS NOT NULL) AS named, bool_and(coalesce(who0 <> who, who = 'u')) AS runs, arg_max(who, turn_no) = 'a' AS replied FROM fresh GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
 SQL = {
     "p1_found": r"""
 WITH item AS (SELECT * FROM intel_chunks_new WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, id DESC) = 1)
