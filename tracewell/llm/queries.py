@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import conversations as chat
 from tracewell.llm import neighbours as near
-from tracewell.llm import packing, splitting, tokenizer
+from tracewell.llm import packing, pii, splitting, tokenizer
 from tracewell.runtime import table
 
 
@@ -64,6 +64,17 @@ def p7_fill(spark, d):
     return packing.summary(p7_containers(spark, d), CAPACITY)
 
 
+def p8_found(spark, d):
+    """Every item of personal information in documents.text."""
+    return pii.items(table(spark, d, "documents"))
+
+
+def p8_redacted(spark, d):
+    """Every document's text with placeholders."""
+    documents = table(spark, d, "documents")
+    return pii.redacted(documents, pii.items(documents))
+
+
 _UNSEEN = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 _TURNS = rf"""
 WITH m AS (SELECT DISTINCT id, session_id, role, content, created_at FROM agent_messages WHERE session_id IS NOT NULL),
@@ -84,7 +95,7 @@ verdict AS (
   SELECT session_id, bool_and(who <> 'x' AND ns IS NOT NULL) AS named, bool_and(coalesce(who0 <> who, who = 'u')) AS runs, arg_max(who, turn_no) = 'a' AS replied FROM fresh GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p5_found, p5_conversations, p5_verdicts, p6_ids, p7_containers, p7_fill, p8_found, p8_redacted)}
 SQL = {
     "p1_found": r"""
 WITH item AS (SELECT * FROM intel_chunks_new WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, id DESC) = 1)
