@@ -215,7 +215,7 @@ def date_of_content(text: Column, path: Column, updated: Column, now: str) -> Co
     last = F.coalesce(F.get(dated, F.size(dated) - 1), F.lit(""))
     top = F.regexp_extract(F.substring_index(body(text), "\n", 5), DATE, 1)
     first = F.coalesce(*[F.nullif(c, F.lit("")) for c in (front, name, last, top)])
-    return F.least(first, F.lit(now))
+    return F.when(first.isNotNull(), F.least(first, F.lit(now)))
 
 
 def chunk_id(*parts: Column) -> Column:

@@ -309,8 +309,8 @@ SELECT doc_id, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE round(coalesce(l
     "fn_text_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "fn_trimmed": r"SELECT doc_id, CASE WHEN length(title) <= 18 THEN title ELSE (CASE WHEN regexp_replace(title[1:17], '\s+\S*\z', '') = '' THEN title[1:17] ELSE regexp_replace(title[1:17], '\s+\S*\z', '') END) || '…' END AS short FROM documents WHERE title IS NOT NULL",
     "fn_content_dates": f"""WITH b AS (SELECT doc_id, path, {_front} AS f, {_body} AS b FROM documents WHERE text IS NOT NULL), h AS (SELECT *, list_filter(list_transform(regexp_extract_all(regexp_replace(b, {_q(T.FENCED)}, ' ', 'g'), {_q(T.HEADING)}, 2), lambda x: regexp_extract(x, {_q(T.DATE)}, 1)), lambda x: x <> '') AS l FROM b)
-SELECT doc_id, least(coalesce(nullif(regexp_extract(f, {_q('(?m)^(?:date|created|updated):[ ' + chr(92) + 't]*["' + chr(39) + ']?((?:19|20)' + chr(92) + 'd' + chr(92) + 'd-' + chr(92) + 'd' + chr(92) + 'd-' + chr(92) + 'd' + chr(92) + 'd)')}, 1), ''), nullif(regexp_extract(regexp_replace(path, '^.*/', ''), {_q(T.DATE.replace(chr(92) + 'b', ''))}, 1), ''),
-  l[len(l)], nullif(regexp_extract(array_to_string(string_split(b, chr(10))[1:5], chr(10)), {_q(T.DATE)}, 1), '')), '{NOW}') AS date FROM h""",
+SELECT doc_id, CASE WHEN x IS NOT NULL THEN least(x, '{NOW}') END AS date FROM (SELECT doc_id, coalesce(nullif(regexp_extract(f, {_q('(?m)^(?:date|created|updated):[ ' + chr(92) + 't]*["' + chr(39) + ']?((?:19|20)' + chr(92) + 'd' + chr(92) + 'd-' + chr(92) + 'd' + chr(92) + 'd-' + chr(92) + 'd' + chr(92) + 'd)')}, 1), ''), nullif(regexp_extract(regexp_replace(path, '^.*/', ''), {_q(T.DATE.replace(chr(92) + 'b', ''))}, 1), ''),
+  l[len(l)], nullif(regexp_extract(array_to_string(string_split(b, chr(10))[1:5], chr(10)), {_q(T.DATE)}, 1), '')) AS x FROM h)""",
     "fn_typed_scalars": r"""WITH m AS (SELECT DISTINCT created_at FROM agent_messages), x AS (SELECT created_at, trim(created_at) AS t, regexp_extract(trim(created_at), '^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)?$', ['day', 'clock', 'frac', 'zone']) AS p FROM m)
 SELECT created_at, strftime(TRY_CAST(p.day || ' ' || CASE WHEN length(p.clock) = 5 THEN p.clock || ':00' ELSE p.clock END AS TIMESTAMP) - CASE WHEN length(p.zone) = 6 THEN to_minutes((CASE WHEN p.zone[1] = '-' THEN -1 ELSE 1 END) * (p.zone[2:3]::INT * 60 + p.zone[5:6]::INT)) ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%S') || '.' || rpad(p.frac, 9, '0') || 'Z' AS datetime,
   CASE WHEN regexp_matches(trim(created_at[1:10]), '^\d{4}-\d\d-\d\d$') THEN strftime(TRY_CAST(trim(created_at[1:10]) AS DATE), '%Y-%m-%d') END AS date, CASE WHEN regexp_matches(t, '^[+-]?[0-9]+$') THEN CAST(TRY_CAST(t AS BIGINT) AS VARCHAR) END AS int FROM x""",
