@@ -143,8 +143,8 @@ def split_overlap(text: Column, size: int, overlap: int) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, cut where a capital follows a small letter, of two bytes at least, in lower case."""
-    cut = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    return F.transform(F.filter(F.split(F.regexp_replace(cut, r"[^\p{L}\p{Nd}]+", " "), " "), lambda t: F.octet_length(t) >= 2), F.lower)
+    cut = F.lower(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2"))
+    return F.regexp_extract_all(cut, F.lit(r"([\p{L}\p{Nd}]{2,}|[\p{L}\p{Nd}&&[^\x00-\x7F]])"), 1)
 
 
 # Groups of words that stand for each other.

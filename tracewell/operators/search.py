@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import tokens
+from tracewell.runtime import written
 
 # Usual constants of BM25; words too common to search for.
 K1, B = 1.2, 0.75
@@ -35,25 +36,25 @@ def bm25(docs: DataFrame, key: str, columns: dict[str, float], words: list[str])
     (0.000001 at least). Counts come from the token arrays in place; no postings are shuffled, only two sums per word."""
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    parts = {c: tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
-    rows = docs.select(key, *[parts[c].alias(f"_t_{c}") for c in columns])
-    size = sum((F.size(f"_t_{c}") for c in columns), F.lit(0)).alias("_n")
+    # One pass over the texts: of the tokens only their number and the query's words are kept, then counted in those few.
+    arrays = docs.select(key, *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_t_{c}") for c in columns])
+    kept = arrays.select(key, sum((F.size(f"_t_{c}") for c in columns), F.lit(0)).alias("_n"), *[F.filter(f"_t_{c}", lambda t: t.isin(words)).alias(f"_h_{c}") for c in columns])
+
     def times(column: str, word: str) -> Column:
-        return F.size(F.filter(f"_t_{column}", lambda t: t == word))
+        return F.size(F.filter(f"_h_{column}", lambda t: t == word))
 
-    tf = [sum((F.lit(w) * times(c, q) for c, w in columns.items()), F.lit(0.0)).alias(f"_f{i}") for i, q in enumerate(words)]
-    any_of = [sum((times(c, q) for c in columns), F.lit(0)) > 0 for q in words]
-    rows = rows.select(key, size, *tf, *[a.cast("int").alias(f"_d{i}") for i, a in enumerate(any_of)])
-    stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avg"), *[F.sum(f"_d{i}").alias(f"d{i}") for i in range(len(words))]).alias("s")).scalar()
-    rows = rows.withColumn("_s", stats)
+    counts = [sum((F.lit(w) * times(c, q) for c, w in columns.items()), F.lit(0.0)).alias(f"_f{i}") for i, q in enumerate(words)]
+    rows = written(kept.select(key, "_n", *counts)).df
+    stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(words))]).alias("s")).scalar()
+    hit = F.greatest(*[F.col(f"_f{i}") for i in range(len(words))], F.lit(0.0)) > 0
+    rows = rows.where(hit).withColumn("_s", stats)
     total = F.lit(0.0)
     for i in range(len(words)):
         df = F.col(f"_s.d{i}")
         idf = F.greatest(F.log((F.col("_s.n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         f = F.col(f"_f{i}")
         total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_s.avg")))
-    hit = sum((F.col(f"_d{i}") for i in range(len(words))), F.lit(0)) > 0
-    return rows.where(hit).select(key, total.alias("score"))
+    return rows.select(key, total.alias("score"))
 
 
 #: Query vectors that may travel with a task; more are an error rather than a silent cut.

@@ -13,8 +13,12 @@ from tracewell.runtime import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, per_tick: int = 64) -> DataFrame:
-    """New Parquet files of a folder, at most so many per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_tick).parquet(path)
+    """New Parquet files of a folder (or the one file), at most so many per micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_tick)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
 def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
