@@ -164,7 +164,8 @@ def _usable(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(rows: DataFrame) -> DataFrame:
     """(key, d, h1, h2): the one vector of every key that has a usable one."""
     each = _sized(rows).mapInArrow(_usable, "key string, d int, h1 bigint, h2 bigint")
-    return each.groupBy("key").agg(F.min(F.struct("h1", "h2", "d")).alias("v")).select("key", "v.d", "v.h1", "v.h2")
+    # By the first hash, so the partial aggregation stays a hash aggregation.
+    return each.groupBy("key").agg(F.min_by("d", "h1").alias("d"), F.min_by("h2", "h1").alias("h2"), F.min("h1").alias("h1")).select("key", "d", "h1", "h2")
 
 
 def _unit_bytes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
