@@ -57,7 +57,7 @@ def bm25(docs: DataFrame, key: str, columns: dict[str, float], words: list[str])
     return rows.select(key, total.alias("score"))
 
 
-#: Query vectors that may travel with a task; more are an error rather than a silent cut.
+#: Query vectors that travel with a task; a larger set of queries goes in blocks of about so many.
 QUERIES = 10_000
 
 
@@ -97,6 +97,19 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: dict[int, list[f
     return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def nearest_of(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERIES) -> DataFrame:
+    """The same for a frame of queries (key, vector) with whole-number keys: blocks by hash of the key, each of about `block` vectors,
+    so what comes to the driver and travels with tasks is bounded. Queries of length 0 are left out."""
+    usable = queries.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
+    blocks = max(1, -(-usable.count() // max(1, block // 2)))
+    out = None
+    for b in range(blocks):
+        part = usable.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        found = nearest(vectors, key, vector, {r["q"]: list(r["v"]) for r in part}, k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def evidence(rows: DataFrame, handle: str, owner: str, kind: str, channel: str, score: Column, fact: Column | None = None) -> DataFrame:
     """Evidence rows of one lane; scores from 0 to 1."""
     return rows.select(

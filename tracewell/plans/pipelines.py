@@ -13,15 +13,10 @@ from tracewell.sources import vault as V
 from tracewell.streaming import incremental as I
 
 
-def _listings(spark, d):
-    """Now: the documents with a hash of their text; before: the same by an older state, a tenth changed, some gone, some new."""
-    n = notes(spark, d).select("path", F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "doc_id")
-    before = n.where("doc_id % 13 <> 0").select("path", F.when(F.col("doc_id") % 10 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"))
-    return n.where("doc_id % 17 <> 0").select("path", "hash"), before
-
-
 def source_discovery(spark, d):
-    return V.discovered(*_listings(spark, d))
+    """Documents on hand against the notes indexed before."""
+    now = notes(spark, d).select("path", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    return V.discovered(now, table(spark, d, "notes").select("path", F.col("content_hash").alias("hash")))
 
 
 def source_prefix(spark, d):
@@ -42,23 +37,24 @@ def source_code_references(spark, d):
 
 
 def sink_replaced(spark, d):
-    """Chunks after the sections of every fifth owner were written anew as one row each."""
-    c = table(spark, d, "intel_chunks_new").select("owner_id", "ord", "granularity")
-    new = c.where(F.length("owner_id") % 5 == 0).groupBy("owner_id").agg(F.lit(0).cast("long").alias("ord"), F.lit("node").alias("granularity"))
+    """Chunks after the owners that have nodes were written anew as one row each."""
+    c = table(spark, d, "intel_chunks_new").select("owner_id", "ord", F.lower(F.trim("granularity")).alias("granularity"))
+    new = c.where("granularity = 'node'").groupBy("owner_id").agg(F.lit(0).cast("long").alias("ord"), F.lit("whole").alias("granularity"))
     return V.replaced(c, new, "owner_id").groupBy("granularity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("owner_id").alias("owners"))
 
 
 def sink_upserted(spark, d):
-    old = table(spark, d, "notes").groupBy("path").agg(F.max("mtime").alias("mtime"))
-    changed = notes(spark, d).where("doc_id % 3 = 0").select("path", F.unix_timestamp("updated_at").alias("mtime"))
-    removed = old.where("mtime % 7 = 0").select("path")
-    return V.upserted(old, changed, removed, "path")
+    """Modification times of notes after the documents' were put in and the deleted ones taken out."""
+    rows = table(spark, d, "notes")
+    old = rows.groupBy("path").agg(F.max("mtime").alias("mtime"))
+    changed = notes(spark, d).select("path", F.unix_timestamp("updated_at").alias("mtime"))
+    return V.upserted(old, changed, rows.where("deleted_at is not null").select("path"), "path")
 
 
 def sink_embedding_cache(spark, d):
-    """Texts with vectors from the cache where there are, else embedded: only the misses are."""
-    texts = notes(spark, d).where("title is not null").select(F.sha2("title", 256).alias("hash"), F.col("title").alias("text"))
-    cache = texts.where("length(text) % 2 = 0").select("hash", X.embedded(F.col("text"), 16).alias("vector"), F.lit("m").alias("model"), F.lit(16).alias("dims"))
+    """Titles with vectors from the cache where there are (those of the kind note), else embedded: only the misses are."""
+    texts = notes(spark, d).where("title is not null").select(F.sha2("title", 256).alias("hash"), F.col("title").alias("text"), "doc_kind")
+    cache = texts.where("doc_kind = 'note'").select("hash", X.embedded(F.col("text"), 16).alias("vector"), F.lit("m").alias("model"), F.lit(16).alias("dims"))
     both, fresh = V.with_cache(texts, cache, "m", 16, lambda miss: miss.select("hash", X.embedded(F.col("text"), 16).alias("vector")))
     return both.agg(F.count(F.lit(1)).alias("texts"), F.count("vector").alias("vectors")).withColumn("fresh", fresh.agg(F.count(F.lit(1))).scalar())
 
@@ -74,15 +70,18 @@ def stream_sliding_windows(spark, d):
     return I.event_windows(table(spark, d, "events"), "6 hours", "2 hours").withColumn("total", F.round("total", 4))
 
 
+CHANGED = "2026-09-01"
+
+
 def stream_affected(spark, d):
-    """Notes to redo when every twentieth note changes: those and the ones that link to them."""
-    changed = notes(spark, d).where("doc_id % 20 = 0").select("path")
+    """Notes to redo after the latest changes: those and the ones that link to them."""
+    changed = notes(spark, d).where(F.col("updated_at") >= F.lit(CHANGED).cast("timestamp")).select("path")
     return I.affected(changed, note_links(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target")))
 
 
 def stream_delta(spark, d):
-    """Titles after redoing what a change touches; the result of an update in place."""
-    old = notes(spark, d).where("doc_id % 4 <> 0").select("path", F.lit("old").alias("state"))
+    """Notes by state after redoing what the changes touch; the result of an update in place."""
+    old = notes(spark, d).where(F.col("updated_at") < F.lit(CHANGED).cast("timestamp")).select("path", F.lit("old").alias("state"))
     new = notes(spark, d).select("path", F.lit("new").alias("state"))
     return I.delta(old, new, stream_affected(spark, d)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -135,20 +134,20 @@ def udf_table_function(spark, d):
 QUERIES = {k: f for k, f in list(globals().items()) if k.split("_")[0] in ("source", "sink", "stream", "udf") and callable(f)}
 _ROWS = "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"
 SQL = {
-    "source_discovery": """WITH n AS (SELECT path, md5(coalesce(text, '')) AS h, doc_id FROM documents), a AS (SELECT path, h FROM n WHERE doc_id % 17 <> 0), b AS (SELECT path, CASE WHEN doc_id % 10 = 0 THEN h || 'x' ELSE h END AS h FROM n WHERE doc_id % 13 <> 0)
-SELECT path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h""",
+    "source_discovery": """WITH a AS (SELECT path, max(md5(coalesce(text, ''))) AS h FROM documents GROUP BY 1), b AS (SELECT path, max(content_hash) AS h FROM notes GROUP BY 1)
+SELECT path, CASE WHEN b.path IS NULL OR b.h IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h""",
     "source_prefix": "SELECT path, title FROM documents WHERE path = 'meetings' OR path LIKE 'meetings/%'",
     "source_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 7, 32, 33, 5000000)",
     "source_chunks": "SELECT id, chunk_id, owner_id, ord FROM intel_chunks_new",
-    "sink_replaced": """WITH c AS (SELECT owner_id, ord, granularity FROM intel_chunks_new), nw AS (SELECT owner_id, 0 AS ord, 'node' AS granularity FROM c WHERE length(owner_id) % 5 = 0 GROUP BY 1)
-SELECT granularity, count(*) AS n, count(DISTINCT owner_id) AS owners FROM (SELECT * FROM c WHERE owner_id IS NULL OR owner_id NOT IN (SELECT owner_id FROM nw) UNION ALL SELECT * FROM nw) GROUP BY 1""",
-    "sink_upserted": """WITH o AS (SELECT path, max(mtime) AS mtime FROM notes GROUP BY 1), c AS (SELECT path, epoch(updated_at)::BIGINT AS mtime FROM documents WHERE doc_id % 3 = 0)
-SELECT * FROM o WHERE path NOT IN (SELECT path FROM c) AND NOT coalesce(mtime % 7 = 0, false) UNION ALL SELECT * FROM c""",
-    "sink_embedding_cache": "SELECT count(*) AS texts, count(*) AS vectors, count(DISTINCT title) FILTER (length(title) % 2 <> 0) AS fresh FROM documents WHERE title IS NOT NULL",
+    "sink_replaced": """WITH c AS (SELECT owner_id, ord, lower(trim(granularity)) AS granularity FROM intel_chunks_new), nw AS (SELECT owner_id, 0 AS ord, 'whole' AS granularity FROM c WHERE granularity = 'node' GROUP BY 1)
+SELECT granularity, count(*) AS n, count(DISTINCT owner_id) AS owners FROM (SELECT * FROM c WHERE owner_id IS NULL OR owner_id NOT IN (SELECT owner_id FROM nw WHERE owner_id IS NOT NULL) UNION ALL SELECT * FROM nw) GROUP BY 1""",
+    "sink_upserted": """WITH o AS (SELECT path, max(mtime) AS mtime FROM notes GROUP BY 1), c AS (SELECT path, epoch(updated_at)::BIGINT AS mtime FROM documents)
+SELECT * FROM o WHERE path NOT IN (SELECT path FROM c) AND path NOT IN (SELECT path FROM notes WHERE deleted_at IS NOT NULL) UNION ALL SELECT * FROM c""",
+    "sink_embedding_cache": "SELECT count(*) AS texts, count(*) AS vectors, count(DISTINCT title) FILTER (title NOT IN (SELECT title FROM documents WHERE title IS NOT NULL AND doc_kind = 'note')) AS fresh FROM documents WHERE title IS NOT NULL",
     "stream_event_windows": _ROWS,
     "stream_sliding_windows": "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(k * 2) AS start FROM events, range(3) r(k) WHERE ts IS NOT NULL) GROUP BY 1, 2",
-    "stream_affected": _NOTE + ", c AS (SELECT path FROM documents WHERE doc_id % 20 = 0) SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)",
-    "stream_delta": _NOTE + ", c AS (SELECT path FROM documents WHERE doc_id % 20 = 0), t AS (SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)) SELECT state, count(*) AS n FROM (SELECT 'old' AS state FROM documents WHERE doc_id % 4 <> 0 AND path NOT IN (SELECT path FROM t) UNION ALL SELECT 'new' FROM documents WHERE path IN (SELECT path FROM t)) GROUP BY 1",
+    "stream_affected": _NOTE + f", c AS (SELECT path FROM documents WHERE updated_at >= TIMESTAMP '{CHANGED}') SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)",
+    "stream_delta": _NOTE + f", c AS (SELECT path FROM documents WHERE updated_at >= TIMESTAMP '{CHANGED}'), t AS (SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)) SELECT state, count(*) AS n FROM (SELECT 'old' AS state FROM documents WHERE updated_at < TIMESTAMP '{CHANGED}' AND path NOT IN (SELECT path FROM t) UNION ALL SELECT 'new' FROM documents WHERE path IN (SELECT path FROM t)) GROUP BY 1",
     "stream_unsent": "WITH c AS (SELECT min(ts) + INTERVAL 7 DAY AS cut FROM events) SELECT DISTINCT user_id, event_type FROM events, c WHERE ts >= cut EXCEPT SELECT user_id, event_type FROM events, c WHERE ts < cut",
     "stream_fingerprint": "SELECT count(*) AS n FROM orders",
     "udf_scored": "SELECT path AS handle, round(len(list_intersect(list_distinct(string_split(lower(title), ' ')), ['search', 'quality', 'property'])) / 3.0, 6) AS second FROM documents WHERE title IS NOT NULL",

@@ -66,7 +66,7 @@ def _remarks(spark, d):
     """Remarks stand on anchors: kind by id, the symbol a part of some fqn."""
     kinds = F.element_at(F.array(*map(F.lit, ["fixme", "todo", "hack", "important", "note"])), (F.col("anchor_id") % 5 + 1).cast("int"))
     symbol = F.when(F.col("anchor_id") % 2 == 0, F.col("name")).otherwise(F.col("fqn"))
-    return anchors(spark, d).where("anchor_id % 3 = 0").select(F.col("anchor_id").alias("rationale_id"), "path", symbol.alias("symbol_fqn"), kinds.alias("kind"), "start_line", F.concat(F.lit("see "), F.col("fqn")).alias("content"))
+    return anchors(spark, d).select(F.col("anchor_id").alias("rationale_id"), "path", symbol.alias("symbol_fqn"), kinds.alias("kind"), "start_line", F.concat(F.lit("see "), F.col("fqn")).alias("content"))
 
 
 def agg_rationale_attention(spark, d):
@@ -171,7 +171,6 @@ def join_shared_formats(spark, d):
 def set_usage_union(spark, d):
     """All usage rows: calls and type references of a symbol in one list, repeated rows kept."""
     e, _, _, a = _all(spark, d)
-    one = lambda k: e.where(F.col("kind") == k).join(a, F.col("dst_id") == F.col("anchor_id")).select("fqn", "kind_e")
     e = e.withColumnRenamed("kind", "kind_e")
     one = lambda k: e.where(F.col("kind_e") == k).join(a.select("anchor_id", "fqn"), F.col("dst_id") == F.col("anchor_id")).groupBy("fqn").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k))
     return one("calls").unionByName(one("type_ref"))
@@ -250,7 +249,7 @@ al AS (SELECT callee_lang AS lang, caller_path AS file, count(*) AS calls, count
   WHERE dst_fqn <> '' AND dst_lang IN (SELECT lang FROM rate WHERE resolved / extracted < 0.95) GROUP BY 1, 2)
 SELECT * EXCLUDE (k) FROM (SELECT *, rank() OVER (PARTITION BY lang, file ORDER BY deps DESC, calls DESC, used_symbols DESC, fallback) AS k FROM al) WHERE k = 1 ORDER BY deps DESC, calls DESC, fallback, file NULLS FIRST, lang NULLS FIRST LIMIT 25""",
     "agg_rationale_attention": _CALLS + """,
-rem AS (SELECT anchor_id AS rationale_id, path, CASE WHEN anchor_id % 2 = 0 THEN name ELSE fqn END AS symbol_fqn, ['fixme', 'todo', 'hack', 'important', 'note'][anchor_id % 5 + 1] AS kind, start_line, 'see ' || fqn AS content FROM anchor WHERE anchor_id % 3 = 0),
+rem AS (SELECT anchor_id AS rationale_id, path, CASE WHEN anchor_id % 2 = 0 THEN name ELSE fqn END AS symbol_fqn, ['fixme', 'todo', 'hack', 'important', 'note'][anchor_id % 5 + 1] AS kind, start_line, 'see ' || fqn AS content FROM anchor),
 ci AS (SELECT callee_id AS anchor_id, count(*) AS calls, count(DISTINCT caller_path) AS callers FROM call GROUP BY 1),
 st AS (SELECT a.fqn, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links FROM anchor a LEFT JOIN ci USING (anchor_id) LEFT JOIN men USING (anchor_id) LEFT JOIN lin USING (anchor_id) WHERE a.fqn <> ''),
 sfx AS (SELECT array_to_string(list_slice(string_split(fqn, '.'), i, NULL), '.') AS symbol_fqn, max(calls) AS calls, max(callers) AS callers, max(mentions) AS mentions, max(links) AS links

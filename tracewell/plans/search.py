@@ -18,7 +18,8 @@ from tracewell.runtime import table
 
 WORDS = Q.query_words("search quality of the offline sync index")
 COLUMNS = {"title": 2.5, "text": 0.15}
-QUERY_IDS = [0, 7, 42]
+#: The stated set of queries of a search: every row whose id is divisible by this.
+EVERY = 20
 
 
 def _bm25(spark, d):
@@ -42,27 +43,25 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
 
-def _queries(spark, d):
-    """The vectors of a few given ids; at most as many rows as ids come to the driver."""
-    return {r["vec_id"]: list(r["embedding"]) for r in _vectors(spark, d).where(F.col("vec_id").isin(QUERY_IDS)).collect()}
+def _near(spark, d, k):
+    v = _vectors(spark, d)
+    return Q.nearest_of(v, v.where(F.col("vec_id") % EVERY == 0), "vec_id", "embedding", k)
 
 
 def search_vector_top(spark, d):
-    q = _queries(spark, d)
-    return Q.nearest(_vectors(spark, d), "vec_id", "embedding", q, 10).select("query", "vec_id", F.round("score", 6).alias("score"))
+    return _near(spark, d, 10).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
 def search_seed_vectors(spark, d):
     """What is near to any seed but no seed: the best score of each."""
-    near = Q.nearest(_vectors(spark, d), "vec_id", "embedding", _queries(spark, d), 30).where(~F.col("vec_id").isin(QUERY_IDS))
+    near = _near(spark, d, 30).where(F.col("vec_id") % EVERY != 0)
     return near.groupBy("vec_id").agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("seeds"))
 
 
 def search_survey_by_type(spark, d):
-    """The best two vectors of each label."""
-    q = {0: _queries(spark, d)[0]}
-    n = Q.nearest(_vectors(spark, d), "vec_id", "embedding", q, 200).join(_vectors(spark, d).select("vec_id", "label"), "vec_id").withColumn("score", F.round("score", 6))
-    return K.top_per_group(n, ["label"], [F.desc("score"), F.asc("vec_id")], 2).select("label", "vec_id", "score", F.col("rank"))
+    """Of each query's nearest the best two of each label."""
+    n = _near(spark, d, 200).join(_vectors(spark, d).select("vec_id", "label"), "vec_id").withColumn("score", F.round("score", 6))
+    return K.top_per_group(n, ["query", "label"], [F.desc("score"), F.asc("vec_id")], 2).select("query", "label", "vec_id", "score", "rank")
 
 
 def search_diversified(spark, d):
@@ -199,11 +198,11 @@ def search_rolled_up(spark, d):
 
 
 def search_blended(spark, d):
-    """Near vectors blended with shared neighbours: labels stand for tags, the next ids for links."""
-    q = Q.nearest(_vectors(spark, d), "vec_id", "embedding", {0: _queries(spark, d)[0]}, 50).join(_vectors(spark, d).select("vec_id", "label"), "vec_id")
-    own = _vectors(spark, d).where("vec_id = 0").select("label").scalar()
-    graph = F.when(F.col("vec_id") <= 5, 0.3).otherwise(0.0) + F.when(F.col("label") == own, 0.1).otherwise(0.0)
-    return q.select("vec_id", F.round(0.7 * F.col("score") + 0.3 * graph, 6).alias("score"))
+    """Near vectors blended with shared neighbours: labels stand for tags, ids close by for links."""
+    labels = _vectors(spark, d).select("vec_id", "label")
+    q = _near(spark, d, 50).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("own")), "query")
+    graph = F.when(F.abs(F.col("vec_id") - F.col("query")) <= 5, 0.3).otherwise(0.0) + F.when(F.col("label") == F.col("own"), 0.1).otherwise(0.0)
+    return q.select("query", "vec_id", F.round(0.7 * F.col("score") + 0.3 * graph, 6).alias("score"))
 
 
 def search_locality(spark, d):
@@ -285,7 +284,7 @@ def sort_mixed_values(spark, d):
     t = F.trim("created_at")
     num, day = t.try_cast("double"), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t)
     kind = F.when(F.coalesce(t, F.lit("")) == "", 0).when(num.isNotNull(), 1).when(day.isNotNull(), 2).otherwise(3)
-    return v.select("created_at", kind.alias("kind")).orderBy("kind", num, day, t, "created_at").limit(60)
+    return v.select("created_at", kind.alias("kind")).orderBy("kind", num, day, t, "created_at")
 
 
 def sort_finder(spark, d):
@@ -314,7 +313,7 @@ def _bm25_sql(words, name="bm"):
 
 _BM = "WITH " + _bm25_sql(WORDS)
 _cov = lambda x: "(" + " + ".join(f"list_contains({x}, '{w}')::INT" for w in WORDS) + f") / {float(len(WORDS))}"
-_VEC = f"WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id IN ({', '.join(map(str, QUERY_IDS))})), sim AS (SELECT query, vec_id, label, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM q, embeddings), nr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim)"
+_VEC = f"WITH q AS (SELECT vec_id AS query, label AS own, embedding AS e FROM embeddings WHERE vec_id % {EVERY} = 0), sim AS (SELECT query, own, vec_id, label, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM q, embeddings), nr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim)"
 _EV = _NOTE + ", " + _bm25_sql(WORDS) + f""",
 sd AS (SELECT path FROM bm JOIN documents USING (doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 8),
 lk AS (SELECT DISTINCT path AS src, l FROM ({_NOTE.split('FROM (SELECT path, l FROM (')[1].split(') x JOIN')[0]}) x JOIN documents USING (doc_id)),
@@ -334,8 +333,8 @@ SQL = {
     "search_bm25": _BM + " SELECT doc_id, round(score, 6) AS score FROM bm",
     "search_bm25_top": _BM + " SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY 2 DESC, 1 LIMIT 20",
     "search_vector_top": _VEC + " SELECT query, vec_id, round(s, 6) AS score FROM nr WHERE k <= 10",
-    "search_seed_vectors": _VEC + f" SELECT vec_id, round(max(s), 6) AS score, count(*) AS seeds FROM nr WHERE k <= 30 AND vec_id NOT IN ({', '.join(map(str, QUERY_IDS))}) GROUP BY 1",
-    "search_survey_by_type": _VEC + " SELECT * FROM (SELECT label, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY round(s, 6) DESC, vec_id) AS rank FROM nr WHERE query = 0 AND k <= 200) WHERE rank <= 2",
+    "search_seed_vectors": _VEC + f" SELECT vec_id, round(max(s), 6) AS score, count(*) AS seeds FROM nr WHERE k <= 30 AND vec_id % {EVERY} <> 0 GROUP BY 1",
+    "search_survey_by_type": _VEC + " SELECT * FROM (SELECT query, label, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query, label ORDER BY round(s, 6) DESC, vec_id) AS rank FROM nr WHERE k <= 200) WHERE rank <= 2",
     "search_link_text": _EV + " SELECT dst AS handle, round(s, 6) AS score FROM lx",
     "search_evidence": _EV + " SELECT handle, type, channel, round(score, 6) AS score, 1 AS in_type, row_number() OVER (PARTITION BY handle ORDER BY score DESC, type) AS in_all FROM ev",
     "search_channels": _EV + " SELECT handle, channel, round(score, 6) AS score FROM ch",
@@ -351,7 +350,7 @@ SELECT asked, kind, count(*) AS hits, min(anchor_id) AS first FROM m x WHERE kin
     "search_external": WITH + """, a AS (SELECT lang, fqn, count(*) AS n FROM anchor WHERE fqn <> '' GROUP BY 1, 2) SELECT t.target_id, t.dst_fqn, CASE WHEN a.n IS NULL THEN 'not_found' WHEN a.n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, (SELECT count(*) FROM ref r WHERE r.dst_target_id = t.target_id) AS uses
 FROM target t LEFT JOIN a ON a.lang = t.dst_lang AND a.fqn = t.dst_fqn WHERE t.dst_pkg LIKE 'tools.%'""",
     "search_rolled_up": WITH + ", s AS (SELECT path, (contains(lower(name), 'hash')::INT + contains(lower(name), 'rank')::INT + contains(lower(name), 'load')::INT + contains(lower(name), 'note')::INT) / 4.0 AS c FROM anchor) SELECT path, count(*) AS symbols, round(least(1.0, max(c) + 0.05 * (count(*) - 1)), 6) AS score FROM s WHERE c > 0 GROUP BY 1 HAVING count(*) >= 3",
-    "search_blended": _VEC + " SELECT vec_id, round(0.7 * s + 0.3 * (CASE WHEN vec_id <= 5 THEN 0.3 ELSE 0 END + CASE WHEN label = (SELECT label FROM embeddings WHERE vec_id = 0) THEN 0.1 ELSE 0 END), 6) AS score FROM nr WHERE query = 0 AND k <= 50",
+    "search_blended": _VEC + " SELECT query, vec_id, round(0.7 * s + 0.3 * (CASE WHEN abs(vec_id - query) <= 5 THEN 0.3 ELSE 0 END + CASE WHEN label = own THEN 0.1 ELSE 0 END), 6) AS score FROM nr WHERE k <= 50",
     "win_top_per_group": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
     "win_section_ordinals": f"SELECT chunk_id, owner_row_id, start_byte, row_number() OVER (PARTITION BY owner_row_id ORDER BY start_byte NULLS FIRST, chunk_id) AS ord FROM ({_chunk}) WHERE owner_row_id IS NOT NULL",
     "win_keyed_extremes": "SELECT o_orderkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) OVER w AS best_f, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey)",
@@ -365,7 +364,7 @@ rl AS (SELECT query, count(*) AS n FROM jd WHERE grade > 0 GROUP BY 1), ht AS (S
 SELECT query, round(coalesce(g / i, 0), 6) AS ndcg, round(coalesce(h / n, 0), 6) AS recall, round(coalesce(h, 0) / 10.0, 6) AS precision FROM idl JOIN rl USING (query) LEFT JOIN ht USING (query)""",
     "agg_latency": "WITH o AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(CASE WHEN k = greatest(ceil(round(0.5 * n, 6)), 1) THEN v END) AS p50, max(CASE WHEN k = greatest(ceil(round(0.95 * n, 6)), 1) THEN v END) AS p95, max(v) AS max FROM o GROUP BY 1",
     "sort_recent": "SELECT path, updated_at FROM documents ORDER BY updated_at DESC NULLS LAST, path LIMIT 20",
-    "sort_mixed_values": r"SELECT created_at, kind FROM (SELECT DISTINCT created_at, trim(created_at) AS t, CASE WHEN coalesce(trim(created_at), '') = '' THEN 0 WHEN TRY_CAST(trim(created_at) AS DOUBLE) IS NOT NULL THEN 1 WHEN regexp_matches(trim(created_at), '^\d{4}-\d{2}-\d{2}$') THEN 2 ELSE 3 END AS kind FROM agent_messages) ORDER BY kind, TRY_CAST(t AS DOUBLE) NULLS FIRST, CASE WHEN regexp_matches(t, '^\d{4}-\d{2}-\d{2}$') THEN t END NULLS FIRST, t NULLS FIRST, created_at NULLS FIRST LIMIT 60",
+    "sort_mixed_values": r"SELECT created_at, kind FROM (SELECT DISTINCT created_at, trim(created_at) AS t, CASE WHEN coalesce(trim(created_at), '') = '' THEN 0 WHEN TRY_CAST(trim(created_at) AS DOUBLE) IS NOT NULL THEN 1 WHEN regexp_matches(trim(created_at), '^\d{4}-\d{2}-\d{2}$') THEN 2 ELSE 3 END AS kind FROM agent_messages) ORDER BY kind, TRY_CAST(t AS DOUBLE) NULLS FIRST, CASE WHEN regexp_matches(t, '^\d{4}-\d{2}-\d{2}$') THEN t END NULLS FIRST, t NULLS FIRST, created_at NULLS FIRST",
     "sort_finder": f"SELECT path, tier, total FROM (SELECT path, title, CASE WHEN {_tok('title')}[1] = 'search' THEN 2 ELSE 1 END AS tier, length(title) % 10 + CASE WHEN doc_kind = 'note' THEN 8 ELSE 0 END + least(doc_id % 30, 12) AS total FROM documents WHERE title IS NOT NULL) ORDER BY tier DESC, total DESC, length(title), path LIMIT 40",
     "sort_canonical_sources": "SELECT source, min(path) AS path, 1 AS rank FROM documents WHERE source IS NOT NULL GROUP BY 1",
 }
