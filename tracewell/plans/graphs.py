@@ -10,7 +10,8 @@ from tracewell.operators import graph as G
 from tracewell.operators import hierarchy
 from tracewell.operators import reports as R
 from tracewell.plans.frames import WITH, anchors, edges, notes
-from tracewell.plans.notes import _links
+from tracewell.plans.links import _TRIM
+from tracewell.plans.notes import _P, _links
 from tracewell.plans.reports import _CALLS
 from tracewell.runtime import table
 
@@ -265,9 +266,16 @@ def _core_sql(least: int, rounds: int) -> str:
 
 
 _COMP = "{0}, bi AS MATERIALIZED (SELECT src, dst FROM ({1}) x UNION SELECT dst, src FROM ({1}) y), wk AS (SELECT src AS node, src AS hit FROM bi UNION SELECT wk.node, bi.dst FROM wk JOIN bi ON bi.src = wk.hit) SELECT node, min(hit) AS component FROM wk GROUP BY 1"
+_TAGGED = _P.removeprefix("WITH ").rstrip().replace("n AS MATERIALIZED", "tg AS MATERIALIZED", 1)
+_RINGS = f"""WITH RECURSIVE link AS (SELECT child, min(parent) AS parent FROM (SELECT {_TRIM('child_fqn')} AS child, {_TRIM('parent_fqn')} AS parent FROM super_edges WHERE lower({_TRIM('kind')}) = 'extends') WHERE child <> '' AND parent <> '' GROUP BY 1),
+w AS (SELECT child AS a, parent AS hit FROM link UNION SELECT a, l.parent FROM w JOIN link l ON l.child = w.hit), r AS (SELECT a FROM w WHERE hit = a), g AS (SELECT r.a, min(w.hit) AS component FROM r JOIN w ON w.a = r.a WHERE w.hit IN (SELECT a FROM r) GROUP BY 1)
+SELECT component, count(*) AS members, string_agg(a, ',' ORDER BY a) AS nodes FROM g GROUP BY 1"""
 
 SQL = {
     "graph_page_rank": _rank_sql(_PKG, "SELECT src, dst, 1.0 AS w FROM pe", "SELECT node, 1.0 / (SELECT count(*) FROM pn) AS p FROM pn", "", 30),
+    "graph_page_rank_symbols": _rank_sql(_PKG, "SELECT src, dst, 1.0 AS w FROM sy", "SELECT node, 1.0 / (SELECT count(*) FROM (SELECT src AS node FROM sy UNION SELECT dst FROM sy)) AS p FROM (SELECT src AS node FROM sy UNION SELECT dst FROM sy)", "", 30),
+    "graph_backlinks": _NOTE + ", " + _TAGGED + " SELECT dst AS note, count(*) AS referrers FROM nl WHERE src NOT IN (SELECT path FROM tg WHERE len(list_filter(tags, lambda t: t = 'todo' OR t LIKE 'todo/%')) > 0) GROUP BY 1",
+    "graph_parent_cycles": _RINGS,
     "graph_personal_rank": _rank_sql(_PKG, "SELECT src, dst, n::DOUBLE AS w FROM pw", f"SELECT node, coalesce(v, 0) / (SELECT sum(v) FROM (VALUES {_seeds}) s(k, v) WHERE k IN (SELECT node FROM pn)) AS p FROM pn LEFT JOIN (VALUES {_seeds}) s(k, v) ON k = node", "", 15),
     "graph_hits": _hits_sql(" SELECT node, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h30", _PKG),
     "graph_degrees": _PKG + " SELECT node, sum(i) AS inbound, sum(o) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM sy UNION ALL SELECT src, 0, 1 FROM sy) GROUP BY 1",

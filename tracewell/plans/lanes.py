@@ -15,6 +15,7 @@ from tracewell.operators.rules import glob_join
 from tracewell.plans import graphs as P
 from tracewell.plans.frames import WITH, anchors, edges, notes
 from tracewell.plans.graphs import _NOTE, _PKG, note_links, packages
+from tracewell.plans.notes import _ftags
 from tracewell.plans.search import _BM, COLUMNS, WORDS
 from tracewell.runtime import table
 
@@ -231,5 +232,7 @@ SELECT src, dst, kind, round(CASE kind WHEN 'wikilink' THEN count(*) WHEN 'coder
 sm AS (SELECT lower(path) AS low, min(path) AS same, count(*) AS n FROM f GROUP BY 1), nm AS (SELECT asked, path, len(list_intersect(string_split(lower(c), '/'), string_split(lower(path), '/'))) AS shared FROM a JOIN f ON lower(regexp_replace(c, '^.*/', '')) = lower(regexp_replace(path, '^.*/', ''))),
 g AS (SELECT asked, count(*) AS named, min(path) AS by_name, count(*) FILTER (shared = m) AS best, min(path) FILTER (shared = m) AS by_steps FROM (SELECT *, max(shared) OVER (PARTITION BY asked) AS m FROM nm) GROUP BY 1),
 o AS (SELECT asked, CASE WHEN sm.n = 1 THEN same WHEN named = 1 THEN by_name WHEN best = 1 THEN by_steps END AS path, named FROM a LEFT JOIN sm USING (low) LEFT JOIN g USING (asked)) SELECT asked, path, CASE WHEN path IS NOT NULL THEN 'resolved' WHEN named IS NULL THEN 'not_found' ELSE 'ambiguous' END AS state FROM o""",
+    "check_code_frontmatter": f"SELECT path FROM documents WHERE doc_kind = 'code_doc' AND coalesce(len({_ftags}), 0) = 0",
+    "typed_link_targets": _NOTE + ", one AS (SELECT dst FROM ti WHERE n = 1) SELECT dst, count(*) AS sources FROM nl WHERE dst IN (SELECT dst FROM one) GROUP BY 1",
     "check_broken_placeholders": _NOTE + r" SELECT src, CASE WHEN regexp_matches(target, '^\W*$|^(todo|tbd|xxx)\b') THEN 'placeholder' ELSE 'broken' END AS kind, count(*) AS links FROM wl WHERE target NOT IN (SELECT target FROM ti) GROUP BY 1, 2",
 }

@@ -9,7 +9,7 @@ from tracewell.functions import chunks as C
 from tracewell.functions import scalars as S
 from tracewell.functions import text as T
 from tracewell.operators import filters as L
-from tracewell.plans.frames import anchors, notes
+from tracewell.plans.frames import WITH, anchors, notes
 from tracewell.runtime import table
 
 NOW = "2026-06-01"
@@ -300,6 +300,15 @@ SELECT doc_id, unnest(range(len(h))) AS ord, length(unnest(h)) AS level, trim(un
     "fn_inline_properties": f"""WITH c AS (SELECT doc_id, {_clean} AS c FROM documents) SELECT DISTINCT doc_id, lower(trim(k)) AS key, trim(v) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(c, {_q(T.PROPERTY)}, 1)) AS k, unnest(regexp_extract_all(c, {_q(T.PROPERTY)}, 2)) AS v FROM c)""",
     "fn_block_ids": f"SELECT DISTINCT note_id, regexp_extract('see ' || target_text, {_q(T.BLOCK_ID)}, 1) AS block FROM note_fragment_targets WHERE target_kind = 'block'",
     "fn_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_tok('name')}) AS token FROM (SELECT id, min(name) AS name FROM symbols WHERE id IS NOT NULL GROUP BY 1)) GROUP BY 1",
+    "fn_variants": f"""WITH w AS (SELECT DISTINCT unnest({_tok('title')}) AS token FROM documents), g AS (SELECT token, CASE WHEN token IN ('embedded', 'embedding', 'embeddings', 'embedder', 'embedders') THEN ['embed', 'embedded', 'embedding', 'embeddings']
+  WHEN token = 'embed' THEN ['embedded', 'embedding', 'embeddings'] WHEN token IN ('note', 'notes') THEN ['note', 'notes'] WHEN token IN ('indexed', 'indexing', 'indexes') THEN ['index', 'indexed'] ELSE [] END AS more,
+  CASE WHEN token LIKE '%ies' AND strlen(token) > 3 THEN token[:-4] || 'y' WHEN token LIKE '%s' AND strlen(token) > 3 THEN token[:-2] END AS one FROM w)
+SELECT token, array_to_string(list_concat([token], CASE WHEN one IS NOT NULL THEN [one] ELSE [] END, list_filter(more, lambda m: m <> token AND m IS DISTINCT FROM one)), ',') AS variants FROM g""",
+    "fn_path_classes": WITH + r""", a AS (SELECT DISTINCT path, lower(path) AS l, lower(regexp_replace(path, '^libs/', 'docs/hubs/')) AS m FROM anchor WHERE path IS NOT NULL)
+SELECT path, regexp_matches(l, '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(l, '(_test\.go|(^|/)test_[^/]*\.py|_test\.py|\.(test|spec)\.[jt]sx?|tests?\.cs|test\.php)$') AS test, CASE WHEN trim(m) = '' THEN 'none' WHEN m LIKE 'docs/hubs/%' THEN 'hub' WHEN regexp_matches(m, '(^|/)generated/') THEN 'generated' WHEN regexp_matches(m, '(^|/)context\.md$') THEN 'module' ELSE 'none' END AS class FROM a""",
+    "fn_proximity": WITH + r""", s(seed, home, depth) AS (VALUES ('apps/anchor/deterministic_1334.ts', 'apps/anchor', 2), ('libs/wikilink_1.go', 'libs', 1), ('services', '', 0)), a AS (SELECT DISTINCT path, CASE WHEN instr(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, string_split(path, '/') AS st FROM anchor WHERE path IS NOT NULL),
+k AS (SELECT path, seed, depth, folder, home, len(list_filter(range(1, len(string_split(seed, '/')) + 1), lambda i: len(st) >= i AND st[1:i] = string_split(seed, '/')[1:i])) AS shared FROM a, s)
+SELECT path, max(CASE WHEN path = '' THEN 0 WHEN path = seed THEN 4 WHEN folder = home OR path LIKE seed || '/%' OR seed LIKE path || '/%' THEN 3 WHEN depth > 0 AND shared >= depth THEN 2 WHEN depth = 0 AND shared >= 1 THEN 1 ELSE 0 END) AS proximity FROM k GROUP BY 1""",
     "fn_concept_coverage": f"SELECT * FROM (SELECT doc_id, round((list_has_any(t, ['search', 'searches'])::INT + list_has_any(t, ['quality'])::INT + list_has_any(t, ['block', 'blocks'])::INT) / 3.0, 6) AS coverage FROM (SELECT doc_id, {_tok('title')} AS t FROM documents)) WHERE coverage > 0",
     "fn_match_score": "SELECT * FROM (SELECT doc_id, round((contains(lower(title), 'rule')::INT + contains(lower(title), 'heading')::INT + contains(lower(title), 'id')::INT) / 3.0, 6) AS score FROM documents) WHERE score > 0",
     "fn_jaccard": f"""WITH t AS (SELECT doc_id, {_tok('title')} AS a, {_tok("regexp_replace(path, '\\.md$', '')")} AS b FROM documents), u AS (SELECT doc_id, {_first('a')} AS a, {_first('b')} AS b FROM t)

@@ -212,7 +212,7 @@ def _coverage(threshold, tail):
     return _CALLS + f""",
 al AS (SELECT callee_lang AS lang, callee_fqn AS fqn, count(*) AS calls, count(DISTINCT caller_path) AS callers, 0 AS fallback FROM call WHERE callee_fqn <> '' GROUP BY 1, 2
   UNION ALL SELECT dst_lang, dst_fqn, count(*), count(DISTINCT src_file_id), 1 FROM rawcall WHERE dst_fqn <> '' AND dst_lang IN (SELECT lang FROM rate WHERE resolved / extracted < {threshold}) GROUP BY 1, 2),
-best AS (SELECT * FROM al u WHERE NOT EXISTS (SELECT 1 FROM al v WHERE v.lang = u.lang AND v.fqn = u.fqn AND (v.calls > u.calls OR (v.calls = u.calls AND v.callers > u.callers) OR (v.calls = u.calls AND v.callers = u.callers AND v.fallback < u.fallback))))
+best AS (SELECT * FROM al QUALIFY rank() OVER (PARTITION BY lang, fqn ORDER BY calls DESC, callers DESC, fallback) = 1)
 SELECT u.lang, coalesce(a.kind, '') AS kind, u.fqn, coalesce(a.path, '') AS path, u.calls, u.callers, coalesce(m.mentions, 0) AS mentions, coalesce(l.links, 0) AS links,
   CASE WHEN a.anchor_id IS NULL THEN 0 ELSE 1 END AS resolved, u.fallback
 FROM best u LEFT JOIN anchor a ON a.lang = u.lang AND a.fqn = u.fqn LEFT JOIN men m ON m.anchor_id = a.anchor_id LEFT JOIN lin l ON l.anchor_id = a.anchor_id {tail}"""
@@ -255,7 +255,7 @@ st AS (SELECT a.fqn, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS caller
 sfx AS (SELECT array_to_string(list_slice(string_split(fqn, '.'), i, NULL), '.') AS symbol_fqn, max(calls) AS calls, max(callers) AS callers, max(mentions) AS mentions, max(links) AS links
   FROM (SELECT *, unnest(range(1, len(string_split(fqn, '.')) + 1)) AS i FROM st) GROUP BY 1)
 SELECT r.path, coalesce(r.symbol_fqn, '') AS symbol_fqn, r.kind, r.start_line, r.content, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links
-FROM rem r LEFT JOIN sfx USING (symbol_fqn) ORDER BY CASE r.kind WHEN 'fixme' THEN 0 WHEN 'todo' THEN 1 WHEN 'hack' THEN 2 WHEN 'important' THEN 3 ELSE 4 END, callers DESC, calls DESC, r.path NULLS FIRST, r.start_line, r.content LIMIT 25""",
+FROM rem r LEFT JOIN sfx USING (symbol_fqn) ORDER BY coalesce(nullif(list_position(['fixme', 'todo', 'hack', 'important'], r.kind), 0), 5), callers DESC, calls DESC, r.path NULLS FIRST, r.start_line, r.content LIMIT 25""",
     "agg_doc_stats": _CALLS + "SELECT fqn, coalesce(kind, '') AS kind, coalesce(path, '') AS path, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links FROM anchor LEFT JOIN men USING (anchor_id) LEFT JOIN lin USING (anchor_id) WHERE lang IN ('ts', 'php') AND fqn IN ('apps.store39.GraphJob507', 'services.community5.CompilerPlan569', 'libs.catalogue57.EdgeWeight1812')",
     "agg_coupling": _CALLS + """,
 pr AS (SELECT caller_pkg, callee_pkg, count(*) AS calls FROM call WHERE caller_pkg <> callee_pkg GROUP BY 1, 2),

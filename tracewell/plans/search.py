@@ -13,6 +13,7 @@ from tracewell.operators import reports as R
 from tracewell.operators import search as Q
 from tracewell.plans.frames import WITH, anchors, edges, notes, refs, ref_files, targets
 from tracewell.plans.graphs import _NOTE, _PKG, note_links, packages
+from tracewell.plans.notes import _P
 from tracewell.plans.reports import _CALLS
 from tracewell.runtime import table
 
@@ -362,6 +363,7 @@ FROM target t LEFT JOIN a ON a.lang = t.dst_lang AND a.fqn = t.dst_fqn WHERE t.d
 jd AS (SELECT doc_kind AS query, doc_id AS doc, doc_id % 4 AS grade FROM documents WHERE doc_kind IS NOT NULL), idl AS (SELECT query, sum((pow(2, grade) - 1) / log2(k + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS k FROM jd WHERE grade > 0) WHERE k <= 10 GROUP BY 1),
 rl AS (SELECT query, count(*) AS n FROM jd WHERE grade > 0 GROUP BY 1), ht AS (SELECT query, sum((pow(2, grade) - 1) / log2(rank + 1)) AS g, count(*) FILTER (grade > 0) AS h FROM rk JOIN jd USING (query, doc) WHERE rank <= 10 GROUP BY 1)
 SELECT query, round(coalesce(g / i, 0), 6) AS ndcg, round(coalesce(h / n, 0), 6) AS recall, round(coalesce(h, 0) / 10.0, 6) AS precision FROM idl JOIN rl USING (query) LEFT JOIN ht USING (query)""",
+    "agg_community_tags": _P + "SELECT * FROM (SELECT doc_kind, tag, count(*) AS n, row_number() OVER (PARTITION BY doc_kind ORDER BY count(*) DESC, tag) AS rank FROM (SELECT doc_id, doc_kind, unnest(list_distinct(tags)) AS tag FROM n WHERE doc_kind IS NOT NULL) GROUP BY 1, 2) WHERE rank <= 5",
     "agg_latency": "WITH o AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(CASE WHEN k = greatest(ceil(round(0.5 * n, 6)), 1) THEN v END) AS p50, max(CASE WHEN k = greatest(ceil(round(0.95 * n, 6)), 1) THEN v END) AS p95, max(v) AS max FROM o GROUP BY 1",
     "sort_recent": "SELECT path, updated_at FROM documents ORDER BY updated_at DESC NULLS LAST, path LIMIT 20",
     "sort_mixed_values": r"SELECT created_at, kind FROM (SELECT DISTINCT created_at, trim(created_at) AS t, CASE WHEN coalesce(trim(created_at), '') = '' THEN 0 WHEN TRY_CAST(trim(created_at) AS DOUBLE) IS NOT NULL THEN 1 WHEN regexp_matches(trim(created_at), '^\d{4}-\d{2}-\d{2}$') THEN 2 ELSE 3 END AS kind FROM agent_messages) ORDER BY kind, TRY_CAST(t AS DOUBLE) NULLS FIRST, CASE WHEN regexp_matches(t, '^\d{4}-\d{2}-\d{2}$') THEN t END NULLS FIRST, t NULLS FIRST, created_at NULLS FIRST",

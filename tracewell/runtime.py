@@ -38,6 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _OWN.add(path)
+    return path
+
+
 class Written:
     """A table written to the shared folder: its lineage is cut and it outlives the executors that made it."""
 
@@ -55,7 +70,7 @@ class Written:
 def written(df: DataFrame, partition_by: list[str] | None = None) -> Written:
     """Write df to the shared folder and hand back the table read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

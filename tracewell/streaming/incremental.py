@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewell.runtime import shared_dir
+from tracewell.runtime import own_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, per_tick: int = 64) -> DataFrame:
@@ -23,7 +23,7 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, per_tick: in
 
 def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a stream over all that is there now; progress is kept in the shared folder, so a restart goes on from the last tick."""
-    progress = f"{shared_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
+    progress = f"{own_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -31,7 +31,7 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's result as a table: ticks append to it, or replace it in complete mode. A repeated tick overwrites its own part, so
     each counts once."""
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, tick: int) -> None:
