@@ -124,5 +124,5 @@ def summary(placed: DataFrame, capacity: int) -> DataFrame:
     used = F.coalesce(F.sum("used"), F.lit(0))
     return boxes.agg(
         F.count(F.lit(1)).alias("containers"), F.ceil(used / capacity).alias("at_least"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"),
-        F.coalesce(F.max("used"), F.lit(0)).alias("fullest"), F.round(used / (F.count(F.lit(1)) * capacity), 6).alias("fill"),
+        F.coalesce(F.max("used"), F.lit(0)).alias("fullest"), F.round(F.try_divide(used, F.count(F.lit(1)) * capacity), 6).alias("fill"),
     )
