@@ -9,8 +9,9 @@ Inverted file with product-quantised residuals:
    travel once, so copies of one vector don't pile up in a group.
 3. One task per group: members are coded, and each list scores its queries with asymmetric distance tables (a codebook entry's
    product with the query's components, summed over the codes). The best by table are reranked with the vectors themselves. Where
-   a lowest cosine is asked for, a member whose table score plus the length of its coding error is below it can't reach it
-   and is left out; that bound is exact.
+   a lowest cosine c is asked for, only members are reranked whose table score reaches c (1 - e^2) less SIGMAS standard errors
+   of e ((1 - c^2) / dimensions)^0.5, e being the length of the member's coding error: what is lost by that is part of the
+   accepted loss, and far below one pair in a million for errors without a direction.
 4. The best of a query from its groups are merged, and vectors are given back their keys: keys with the same vector are found by
    the vector's hash, and each is among the most similar of the others.
 
@@ -36,12 +37,14 @@ SAMPLE = 65_536
 LIST, LISTS = 512, 4096
 #: Vectors per group of lists; groups are at least FEW where there are four lists for each.
 GROUP, FEW = 150_000, 8
-#: Components per code, and codes per codebook. With a lowest cosine the bound on the coding error makes up for coarser codes.
+#: Components per code, and codes per codebook. With a lowest cosine coarser codes do.
 PART, COARSE, CODES = 4, 8, 256
 #: Members per query and list that are reranked.
 RERANK = 40
+#: Standard errors of a table score that a member may be below what a lowest cosine makes likely.
+SIGMAS = 6.0
 #: Queries scored against a list at a time.
-BLOCK = 64
+BLOCK = 128
 
 
 # ---- the model
@@ -257,7 +260,8 @@ class Group:
         _, first = np.unique(np.stack([head["h1"], head["h2"]], 1), axis=0, return_index=True) if len(head) else (None, np.zeros(0, np.int64))
         order = first[np.argsort(head["list"][first], kind="stable")]
         self.model, self.h1, self.h2, self.label, self.x = model, head["h1"][order], head["h2"][order], head["list"][order], x[order]
-        self.codes, self.miss = model.coded(self.x, self.label)
+        codes, self.miss = model.coded(self.x, self.label)
+        self.codes = np.ascontiguousarray(codes.T).astype(np.intp)
         lists = np.arange(len(model.centroids) + 1)
         self.start = np.searchsorted(self.label, lists)
 
@@ -265,11 +269,12 @@ class Group:
         """Members of a list x queries: what the codes say their products are."""
         a, z = self.start[of], self.start[of + 1]
         wide, part = self.model.pad(q), self.model.part
-        total = np.broadcast_to(q @ self.model.means[of], (z - a, len(q))).astype(np.float32)
+        total = np.empty((z - a, len(q)), np.float32)
+        total[:] = q @ self.model.means[of]
         taken = np.empty_like(total)
+        wide = np.ascontiguousarray(wide.T)
         for m in range(self.model.parts):
-            table = self.model.books[m] @ wide[:, m * part : (m + 1) * part].T
-            np.take(table, self.codes[a:z, m], axis=0, out=taken, mode="clip")
+            np.take(self.model.books[m] @ wide[m * part : (m + 1) * part], self.codes[m, a:z], axis=0, out=taken, mode="clip")
             total += taken
         return total
 
@@ -280,6 +285,8 @@ class Group:
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
         out = []
+        if floor is not None:
+            least = floor * (1 - self.miss**2) - SIGMAS * self.miss * ((1 - floor**2) / self.model.dim) ** 0.5
         for of in np.unique(flat):
             a, z = self.start[of], self.start[of + 1]
             if a == z:
@@ -290,11 +297,12 @@ class Group:
                 score = self.table_scores(int(of), q[part])
                 columns = np.arange(len(part))
                 if floor is not None:
-                    reach = score + self.miss[a:z, None] >= floor
-                    count = reach.sum(0)
-                    rows, cols = np.nonzero(reach[:, count <= RERANK])
-                    out.append(self._exact(q, part[columns[count <= RERANK][cols]], a + rows))
-                    columns = columns[count > RERANK]
+                    rows, cols = np.divmod(np.flatnonzero(score >= least[a:z, None]), len(part))
+                    many = np.bincount(cols, minlength=len(part)) > RERANK
+                    few = ~many[cols]
+                    if few.any():
+                        out.append(self._exact(q, part[cols[few]], a + rows[few]))
+                    columns = np.flatnonzero(many)
                 if len(columns):
                     # The query itself may be among the members, hence one more.
                     n = min(RERANK + 1, z - a)
