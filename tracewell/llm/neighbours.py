@@ -65,9 +65,15 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> n
     return c
 
 
+def _steps(x: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """x in pieces whose products with c are at most 8 MB."""
+    n = max(64, 2_000_000 // len(c))
+    return [x[i : i + n] for i in range(0, len(x), n)]
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(1) / 2
-    return np.concatenate([(x[i : i + 8192] @ c.T - half).argmax(1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *[(p @ c.T - half).argmax(1) for p in _steps(x, c)]])
 
 
 def _bisect(c: np.ndarray, weight: np.ndarray, lists: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -89,7 +95,7 @@ class Model:
         self.dim, self.part = sample.shape[1], part
         k = int(np.clip(n // LIST, 1, min(LISTS, len(sample))))
         self.centroids = _kmeans(sample, k, 8, seed, True)
-        label = (sample @ self.centroids.T).argmax(1)
+        label = _nearest(sample, self.centroids)
         weight = np.bincount(label, minlength=k) + 0.5
         # Lists are found by their directions; residuals are taken from their means.
         self.means = self.centroids * (np.bincount(label, (sample * self.centroids[label]).sum(1), k) / weight)[:, None].astype(np.float32)
@@ -110,12 +116,14 @@ class Model:
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """Lists from the nearest on, per vector."""
-        score = x @ self.centroids.T
-        if self.probes < len(self.centroids):
+        if self.probes >= len(self.centroids):
+            return np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")
+        out = [np.zeros((0, self.probes), np.int64)]
+        for p in _steps(x, self.centroids):
+            score = p @ self.centroids.T
             near = np.argpartition(-score, self.probes - 1, axis=1)[:, : self.probes]
-        else:
-            near = np.tile(np.arange(len(self.centroids)), (len(x), 1))
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+            out.append(np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1))
+        return np.concatenate(out)
 
     def coded(self, x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what they miss."""
@@ -173,9 +181,10 @@ def owners(rows: DataFrame) -> DataFrame:
 
 def _unit_bytes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts:
-        _, units = _values(b.column("vector"), b.column("d").to_numpy())
+        dims, h2 = b.column("d").to_numpy(), b.column("h2").to_numpy()
+        usable, units = _values(b.column("vector"), dims)
         for d, x in units.items():
-            yield pa.RecordBatch.from_pydict({"d": pa.array([d] * len(x), pa.int32()), "x": [r.tobytes() for r in x]})
+            yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(x), d, np.int32)), "h2": pa.array(h2[usable & (dims == d)]), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
 
 def fit(rows: DataFrame, own: DataFrame, part: int = PART) -> dict[int, Model]:
@@ -188,12 +197,15 @@ def fit(rows: DataFrame, own: DataFrame, part: int = PART) -> dict[int, Model]:
         return {}
     limit = F.element_at(F.create_map(*[F.lit(v) for d, s in share.items() for v in (d, int(s * (2**62 - 1)))]), F.col("d"))
     drawn = _sized(rows).where(F.col("d").isin(list(sizes)) & (F.pmod(F.col("h2"), F.lit(2**62 - 1)) <= limit))
-    drawn = drawn.dropDuplicates(["h1", "h2"]).select("d", "vector").mapInArrow(_unit_bytes, "d int, x binary")
-    got: dict[int, list[bytes]] = {}
-    for r in drawn.collect():
-        got.setdefault(r["d"], []).append(bytes(r["x"]))
-    for d in sorted(got):
-        x = np.frombuffer(b"".join(sorted(got[d])), np.float32).reshape(-1, d)
+    drawn = drawn.dropDuplicates(["h1", "h2"]).select("d", "h2", "vector").mapInArrow(_unit_bytes, "d int, h2 bigint, x binary").toArrow()
+    dims, order = drawn["d"].to_numpy(), drawn["h2"].to_numpy()
+    for d in sorted(sizes):
+        rows = np.flatnonzero(dims == d)
+        if not len(rows):
+            continue
+        # By hash, so the fit doesn't depend on how rows arrive.
+        rows = rows[np.argsort(order[rows], kind="stable")]
+        x = np.frombuffer(b"".join(drawn["x"].take(pa.array(rows)).to_pylist()), np.float32).reshape(-1, d)
         models[d] = Model(x, max(sizes[d], len(x)), first, part)
         first += models[d].groups
     return models
