@@ -32,7 +32,7 @@ def symbols(spark, d):
 def link_targets(spark, d):
     """(src, target, dst): every written link with the one note of that title, or null."""
     n = notes(spark, d)
-    links = n.select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target")).distinct()
+    links = n.where(F.contains("text", F.lit("[["))).select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target")).distinct()
     titles = n.where("title is not null").groupBy(F.lower("title").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("dst"))
     return links.join(titles, "target", "left").select("src", "target", F.when(F.col("n") == 1, F.col("dst")).alias("dst"), F.coalesce("n", F.lit(0)).alias("candidates"))
 
@@ -40,7 +40,7 @@ def link_targets(spark, d):
 def note_links(spark, d):
     """All links between notes of a title, whichever note of that title is meant (so the graph is not empty where titles repeat)."""
     n = notes(spark, d)
-    links = n.select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target")).distinct()
+    links = n.where(F.contains("text", F.lit("[["))).select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target")).distinct()
     titles = n.where("title is not null").groupBy(F.lower("title").alias("target")).agg(F.min("path").alias("dst"))
     return links.join(titles, "target").select("src", "dst").where("src <> dst")
 

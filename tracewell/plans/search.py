@@ -15,7 +15,7 @@ from tracewell.plans.frames import WITH, anchors, edges, notes, refs, ref_files,
 from tracewell.plans.graphs import _NOTE, _PKG, note_links, packages
 from tracewell.plans.notes import _P
 from tracewell.plans.reports import _CALLS
-from tracewell.runtime import table
+from tracewell.runtime import table, written
 
 WORDS = Q.query_words("search quality of the offline sync index")
 COLUMNS = {"title": 2.5, "text": 0.15}
@@ -76,8 +76,8 @@ def search_diversified(spark, d):
 # ---- lanes
 
 
-def lane_lexical(spark, d):
-    best = _bm25(spark, d).withColumn("path", F.lit(None).cast("string")).drop("path").join(notes(spark, d).select("doc_id", "path"), "doc_id")
+def lane_lexical(spark, d, best=None):
+    best = (best or _bm25(spark, d)).join(notes(spark, d).select("doc_id", "path"), "doc_id")
     return Q.evidence(best, "path", "path", "intel_fts_match", "lexical", S.similarity_of_bm25(-F.col("score")))
 
 
@@ -87,22 +87,22 @@ def lane_title(spark, d):
     return Q.evidence(n, "path", "path", "note_title_match", "lexical", F.col("c"))
 
 
-def lane_link_text(spark, d):
+def lane_link_text(spark, d, links_of=None):
     """Notes by the labels others link them with: what is written on the link counts in full, a link to a hub less; noisy-or over
     the linking notes, each counted once."""
     n = notes(spark, d)
-    links = n.select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target"), F.lower(F.concat_ws(" ", "l.target", "l.alias", "l.heading")).alias("label")).distinct()
+    links = n.where(F.contains("text", F.lit("[["))).select(F.col("path").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("l")).select("src", F.lower("l.target").alias("target"), F.lower(F.concat_ws(" ", "l.target", "l.alias", "l.heading")).alias("label")).distinct()
     titles = n.where("title is not null").groupBy(F.lower("title").alias("target")).agg(F.min("path").alias("dst"))
     met = links.join(titles, "target").where("src <> dst").withColumn("c", T.coverage(T.tokens(F.col("label")), [[w] for w in WORDS])).where("c > 0")
-    out_count = note_links(spark, d).groupBy("src").agg(F.countDistinct("dst").alias("targets"))
+    out_count = (links_of or note_links(spark, d)).groupBy("src").agg(F.countDistinct("dst").alias("targets"))
     met = met.groupBy("src", "dst").agg(F.max("c").alias("c")).join(out_count, "src").withColumn("c", F.col("c") * F.least(F.lit(1.0), F.lit(20.0) / F.col("targets")))
     return Q.evidence(K.noisy_or(met, ["dst"], F.col("c")), "dst", "dst", "link_text_match", "lexical", F.col("score"))
 
 
-def lane_graph(spark, d):
+def lane_graph(spark, d, best=None, links_of=None):
     """Notes the best lexical hits link to."""
-    seeds = _bm25(spark, d).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(8).join(notes(spark, d).select("doc_id", "path"), "doc_id")
-    out = note_links(spark, d).join(seeds.select(F.col("path").alias("src")), "src").select("dst").distinct()
+    seeds = (best or _bm25(spark, d)).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(8).join(notes(spark, d).select("doc_id", "path"), "doc_id")
+    out = (links_of or note_links(spark, d)).join(seeds.select(F.col("path").alias("src")), "src").select("dst").distinct()
     return Q.evidence(out, "dst", "dst", "direct_link_out", "graph", F.lit(0.6))
 
 
@@ -112,7 +112,10 @@ def lane_recency(spark, d):
 
 
 def _evidence(spark, d):
-    return Q.merged([f(spark, d) for f in (lane_lexical, lane_title, lane_link_text, lane_graph, lane_recency)])
+    """All lanes; what several of them read is made once. Read twice by what follows, so written."""
+    best, links = written(_bm25(spark, d)).df, written(note_links(spark, d)).df
+    lanes = [lane_lexical(spark, d, best), lane_title(spark, d), lane_link_text(spark, d, links), lane_graph(spark, d, best, links), lane_recency(spark, d)]
+    return written(Q.merged(lanes)).df
 
 
 def search_link_text(spark, d):
