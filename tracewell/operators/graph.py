@@ -439,6 +439,55 @@ def expand(edges: DataFrame, roots: DataFrame, depth: int, per_source: int | Non
     return seen
 
 
+def _reached_local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Breadth-first from every source over all edges; rows are handed on in batches."""
+    got = [p for p in parts if len(p)]
+    if not got:
+        return
+    rows = pd.concat(got, ignore_index=True)
+    numbers, names = pd.factorize(np.r_[rows["src"].to_numpy(object), rows["dst"].to_numpy(object)])
+    src, dst = numbers[: len(rows)], numbers[len(rows) :]
+    order = np.argsort(src, kind="stable")
+    ends = np.searchsorted(src[order], np.arange(len(names) + 1)).tolist()
+    to, out = dst[order].tolist(), ([], [], [])
+    frame = lambda: pd.DataFrame({"root": names[out[0]], "node": names[out[1]], "steps": np.array(out[2], np.int32)})
+    for root in np.unique(src).tolist():
+        seen, front, k = {root}, [root], 0
+        while front:
+            k, ahead = k + 1, []
+            for u in front:
+                for w in to[ends[u] : ends[u + 1]]:
+                    if w not in seen:
+                        seen.add(w)
+                        ahead.append(w)
+                        for column, value in zip(out, (root, w, k)):
+                            column.append(value)
+            front = ahead
+            if len(out[0]) >= 50_000:
+                yield frame()
+                out = ([], [], [])
+    if out[0]:
+        yield frame()
+
+
+def reached(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(root, node, steps): what each source reaches along edges however far, each node once at its least distance, without the
+    source itself. Rounds go on until one reaches nothing new, so rings end too."""
+    e = written(distinct_edges(edges)).df
+    if e.count() <= local_edges:
+        return e.repartition(1).mapInPandas(_reached_local, "root string, node string, steps int")
+    front = written(e.where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("steps"))).df
+    seen, k = front, 1
+    while not front.isEmpty():
+        k += 1
+        ahead = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node")).where("root <> node").distinct()
+        front = written(ahead.join(seen, ["root", "node"], "left_anti").withColumn("steps", F.lit(k))).df
+        seen = seen.unionByName(front)
+        if k % ROUNDS == 0:
+            seen = written(seen).df
+    return seen
+
+
 def bounded_edges(edges: DataFrame, focus: DataFrame, per_source: int, order: list[Column], both_ways: bool = True) -> DataFrame:
     """Edges of some nodes, out and in, at most so many per node and direction, with the node's degree. The two directions are two
     equality joins, not one with OR."""

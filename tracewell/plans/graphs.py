@@ -13,7 +13,7 @@ from tracewell.plans.frames import WITH, anchors, edges, notes
 from tracewell.plans.links import _TRIM
 from tracewell.plans.notes import _P, _links
 from tracewell.plans.reports import _CALLS
-from tracewell.runtime import table
+from tracewell.runtime import stripped, table
 
 SEEDS = {"apps.store39": 2.0, "libs.view8": 1.0, "services.community5": 1.0}
 NOW = "2026-06-01 00:00:00"
@@ -214,10 +214,9 @@ def graph_stale_notes(spark, d):
 
 
 def graph_ancestors(spark, d):
-    """All supertypes of each symbol along any inheritance edge, ring-safe, by frontier joins of at most 64 steps."""
-    e = table(spark, d, "super_edges").where("child_fqn <> '' and trim(parent_fqn) <> '' and kind = 'implements'").select(F.col("child_fqn").alias("src"), F.col("parent_fqn").alias("dst"))
-    roots = e.select(F.col("src").alias("root")).distinct()
-    return G.expand(e, roots, 8).where("steps > 0")
+    """All supertypes of each symbol along inheritance edges of any kind, however far and ring-safe; names without surrounding white space."""
+    e = table(spark, d, "super_edges").select(stripped(F.col("child_fqn")).alias("src"), stripped(F.col("parent_fqn")).alias("dst"))
+    return G.reached(e.where("src <> '' and dst <> ''"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("graph_") and callable(f)}
