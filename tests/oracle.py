@@ -37,7 +37,7 @@ def views(d):
 
 
 def differ(spark, name, d, query, sql):
-    """What differs between a query and its SQL; None if nothing does. A query without SQL must only run."""
+    """What differs between a query and its SQL; None if nothing does and there are rows to compare. A query without SQL must only run."""
     df = query(spark, d)
     cols = sorted(df.columns)
     rows = sorted("|".join(plain(r[c]) for c in cols) for r in (x.asDict(recursive=True) for x in df.collect()))
@@ -49,6 +49,8 @@ def differ(spark, name, d, query, sql):
         return f"columns {cols} against {sorted(names)}"
     at = [names.index(c) for c in cols]
     want = sorted("|".join(plain(r[i]) for i in at) for r in got.fetchall())
+    if not rows and not want:
+        return "no rows on either side: nothing was compared"
     if rows == want:
         return None
     only, miss = sorted(set(rows) - set(want)), sorted(set(want) - set(rows))
