@@ -2,7 +2,8 @@
 
 Weak supervision in four steps:
 1. Gazetteers of names and towns come from the corpus itself: names before an address in angle brackets, towns beside a
-   postcode; counted over all documents, kept from two documents on, the most frequent first.
+   postcode; counted over all documents, all kept from two documents on. Every worker holds them, so memory grows with the
+   number of different names, not with the text.
 2. Candidate spans are found by an automaton over all gazetteer words and street words, and by digit runs; labelers (patterns,
    gazetteers, words on either side, shapes) vote for or against each candidate or abstain.
 3. Expectation-maximisation over the counts of all vote patterns estimates how reliable each labeler is, and from that how likely
@@ -34,8 +35,8 @@ from tracewell.runtime import written
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
 #: Names that are also words are candidates of a kind of their own, as labelers are less reliable there.
 VAGUE = "person_name?"
-#: Candidates of a type the classifier is trained on, at most; gazetteer words of a kind; features of a type.
-TRAIN, GAZETTEER, FEATURES = 20_000, 20_000, 1 << 13
+#: Candidates of a type the classifier is trained on, at most; features of a type.
+TRAIN, FEATURES = 20_000, 1 << 13
 LIKELY = 0.5
 
 # A seed of given names of several languages; words that are also given names; titles; particles.
@@ -143,9 +144,8 @@ def _gazetteer_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def gazetteers(documents: DataFrame) -> dict[str, set[str]]:
     rows = documents.select("text").mapInArrow(_gazetteer_rows, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).where("n >= 2")
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "word"))
     found: dict[str, set[str]] = {"given": set(GIVEN) | set(AMBIGUOUS), "family": set(), "town": set()}
-    for r in rows.withColumn("rank", rank).where(F.col("rank") <= GAZETTEER).collect():
+    for r in rows.select("kind", "word").collect():
         found[r["kind"]].add(r["word"])
     found["family"] -= found["given"] | set(TITLES) | set(COMMON)
     return found
@@ -189,17 +189,21 @@ _UNIT = r"(?:flat|apt\.?|unit|apartment|appt\.?|app\.|wohnung|suite|\d{1,2}\.º)
 _POST = r"(?:[A-Z]{1,2}\d{1,2} ?\d[A-Z]{2}|(?:[A-Z]{2}[ -])?\d{5})"
 
 
-def _street_pattern(towns: set[str]) -> re.Pattern:
-    town = "|".join(sorted((re.escape(t) for t in towns), key=len, reverse=True)[:2000]) or r"(?!)"
-    town = rf"(?:(?:{town})(?![\w]))"
+def _street_pattern() -> re.Pattern:
     name = r"(?:[^\W\d_][\w'-]* ){1,3}?"
     english = rf"{_NUM},? {name}(?:(?:st|rd|ln|ave|blvd)\b\.?|(?:street|road|row|lane|avenue|close|crescent|court|way|terrace|boulevard|drive|square)\b)"
     french = rf"{_NUM},? (?:rue|avenue|place|boulevard|quai|chemin|allée|impasse) (?:(?:de la|des|du|de|d'|l') ?)?[^\W\d_][\w'-]*(?: (?-i:[A-ZÀ-Þ])[\w'-]*)?"
     german = r"[^\W\d_][^\W\d_-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm) ?\d{1,4} ?[a-z]?\b"
     spanish = r"(?:calle|c/|avda\.?|avenida|paseo|plaza|camino)(?: (?:de las|de los|de la|del|de))? [^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*)?,? \d{1,4} ?[a-z]?\b"
     street = rf"(?:{french}|{english}|{german}|{spanish})"
-    end = rf"(?:, ?|\s?\n[ >*\-]*)(?:{_POST},? )?{town}(?:(?:,? |, ?\n){_POST})?"
-    return re.compile(rf"(?<![\w.])(?:{_UNIT},? )?{street}(?:, {_UNIT})?(?:{end})?(?:, {_UNIT})?(?![A-Za-z0-9])", re.I)
+    return re.compile(rf"(?<![\w.])(?:{_UNIT},? )?{street}(?:, {_UNIT})?(?![A-Za-z0-9])", re.I)
+
+
+_STREET = _street_pattern()
+#: What may follow a street: a town, looked up by its one or two words, with a postcode on either side, and a unit.
+_TOWNS = [re.compile(rf"(?:, ?|\s?\n[ >*\-]*){post}([^\W\d_]+)(?!\w)(?: ([^\W\d_]+)(?!\w))?", re.I) for post in (rf"{_POST},? ", "")]
+_TOWN_POST = re.compile(rf"(?:,? |, ?\n){_POST}(?![A-Za-z0-9])", re.I)
+_LAST_UNIT = re.compile(rf", {_UNIT}(?![A-Za-z0-9])", re.I)
 
 
 _LEFT = {
@@ -237,7 +241,7 @@ class Finder:
             for k in (2, 3):
                 tails[w[-k:]] = tails.get(w[-k:], 0) + 1
         self.heads, self.tails = {k for k, n in heads.items() if n > 2}, {k for k, n in tails.items() if n > 2}
-        self.street = _street_pattern(self.town)
+        self.town_sizes = {len(w) for w in self.town}
         self.auto = ahocorasick.Automaton()
         kinds: dict[str, int] = {}
         for bit, group in ((1, self.given), (2, self.family), (4, STREETS), (8, TITLES), (16, ["@", "&#64;", "&#x40;", "&commat;", "%40"])):
@@ -412,17 +416,34 @@ class Finder:
                 taken.append((left.start(), b))
         return sorted(taken)
 
+    def addresses(self, s: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """Streets within [lo, hi), each with the town and postcode behind it."""
+        while m := _STREET.search(s, lo, hi):
+            lo = self.past_town(s, m.end(), hi)
+            if u := _LAST_UNIT.match(s, lo, hi):
+                lo = u.end()
+            yield m.start(), lo
+
+    def past_town(self, s: str, at: int, hi: int) -> int:
+        for form in _TOWNS:
+            if m := form.match(s, at, hi):
+                words = 2 if m[2] and f"{m[1]} {m[2]}".lower() in self.town else 1 if m[1].lower() in self.town else 0
+                if words:
+                    p = _TOWN_POST.match(s, m.end(words), hi)
+                    return p.end() if p else m.end(words)
+        return at
+
     def streets(self, s, spots, found) -> None:
         past = 0
         for a in spots:
             if a < past:
                 continue
-            for m in self.street.finditer(s, max(past, a - 60), min(len(s), a + 110)):
-                x, y, t = m.start(), m.end(), m[0]
+            for x, y in self.addresses(s, max(past, a - 60), min(len(s), a + 110)):
+                t = s[x:y]
                 while s[y - 1] in " ,":
                     y -= 1
                 ended = t.lower().rstrip(" .0123456789")
-                town = any(ended.endswith(w) for w in self.town) or bool(re.search(_POST + r"$", t))
+                town = any(ended[-k:] in self.town for k in self.town_sizes) or bool(re.search(_POST + r"$", t))
                 votes = [
                     1 if re.match(r"(?i)(?:flat|apt|unit|\d)", t) or re.search(r"\d", t) else -1,
                     1 if town else 0,
