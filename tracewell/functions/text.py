@@ -55,6 +55,28 @@ def front_value(text: Column, key: str) -> Column:
     return F.regexp_extract(frontmatter(text), rf"(?m)^{key}:[ \t]*([^\n\r]*?)[ \t]*\r?$", 1)
 
 
+_UNQUOTED = r"""^(["'])(.*)\1$"""
+_FRONT_KEY = r"""(?m)^["']?([\p{L}\p{N}_][^:\n\r"']*?)["']?[ \t]*:[ \t]*([^\n\r]*?)[ \t]*\r?$((?:\r?\n[ \t]*-[ \t]+[^\n\r]*)*)"""
+_ITEM = r"""("[^"]*"|'[^']*'|\[\[[^\[\]]*\]\]|[^,\s][^,]*)"""
+
+
+def front_properties(text: Column) -> Column:
+    """array<struct<key, values>> of all top-level frontmatter keys with a value: a scalar is one value, a list its items, without
+    quotes. Of repeated keys the first holds."""
+    front = frontmatter(text)
+    found = F.arrays_zip(*[F.regexp_extract_all(front, F.lit(_FRONT_KEY), k).alias(c) for k, c in ((1, "key"), (2, "value"), (3, "block"))])
+
+    def values(p: Column) -> Column:
+        inner = F.regexp_extract(p["value"], r"^\[(?!\[)(.*)\]$", 1)
+        block = F.regexp_extract_all(p["block"], F.lit(r"\n[ \t]*-[ \t]+([^\n\r]*)"), 1)
+        raw = F.when(inner != "", F.regexp_extract_all(inner, F.lit(_ITEM), 1)).when(p["value"] == "[]", F.array().cast("array<string>")).when(p["value"] == "", block).otherwise(F.array(p["value"]))
+        return F.filter(F.transform(raw, lambda v: F.regexp_replace(F.trim(v), _UNQUOTED, "$2")), lambda v: v != "")
+
+    keys = F.transform(found, lambda p: p["key"])
+    firsts = F.filter(found, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.filter(F.transform(firsts, lambda p: F.struct(p["key"].alias("key"), values(p).alias("values"))), lambda p: F.size(p["values"]) > 0)
+
+
 def front_tags(text: Column) -> Column:
     raw = F.regexp_replace(front_value(text, "tags"), r"^\[|\]$", "")
     return F.filter(F.transform(F.split(raw, ","), lambda t: normal_tag(F.regexp_replace(t, "[\"']", ""))), lambda t: t != "")

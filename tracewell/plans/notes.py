@@ -16,7 +16,7 @@ NOW = "2026-06-01"
 
 
 def parsed(spark, d):
-    """Notes with tags and properties."""
+    """Notes with tags and the properties the filters ask for."""
     n = notes(spark, d)
     front = F.array(*[F.struct(F.lit(k).alias("key"), T.front_value(F.col("text"), k).alias("value")) for k in ("type", "status", "owner")])
     return n.select("doc_id", "path", "title", "doc_kind", "updated_at", F.coalesce(T.all_tags(F.col("text")), F.array().cast("array<string>")).alias("tags"), F.filter(F.coalesce(front, F.array().cast(parsed.kind)), lambda p: p["value"] != "").alias("properties"))
@@ -64,9 +64,16 @@ def _properties(spark, d):
     return parsed(spark, d).select("doc_id", F.explode("properties").alias("p")).select("doc_id", "p.*")
 
 
+def _values(spark, d):
+    """(key, at, value): every value of every frontmatter key of every note; at is 0 for the first of a note's list."""
+    p = notes(spark, d).select(F.explode(T.front_properties(F.col("text"))).alias("p"))
+    return p.select("p.key", F.posexplode("p.values").alias("at", "value"))
+
+
 def agg_property_profile(spark, d):
-    p = _properties(spark, d).withColumn("type", S.inferred_type(F.col("value")))
-    return p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), (F.countDistinct("value") <= 20).alias("enum_like"))
+    """Per frontmatter key: notes that have it, different values (of lists: items) and their types."""
+    p = _values(spark, d).withColumn("type", S.inferred_type(F.col("value")))
+    return p.groupBy("key").agg(F.count_if(F.col("at") == 0).alias("n"), F.countDistinct("value").alias("values"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), (F.countDistinct("value") <= 20).alias("enum_like"))
 
 
 def agg_property_lookup(spark, d):
@@ -169,7 +176,7 @@ def fn_typed_scalars(spark, d):
 
 
 def fn_property_types(spark, d):
-    p = _properties(spark, d)
+    p = _values(spark, d)
     return p.select("value").distinct().select("value", S.inferred_type(F.col("value")).alias("type"))
 
 
