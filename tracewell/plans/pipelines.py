@@ -96,7 +96,9 @@ def stream_unsent(spark, d):
 
 
 def stream_fingerprint(spark, d):
-    return I.fingerprint(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus"]).select("n")
+    """The count, hash sum and xor of all columns of the orders."""
+    orders = table(spark, d, "orders")
+    return I.fingerprint(orders, sorted(orders.columns))
 
 
 def udf_embedded(spark, d):

@@ -74,4 +74,6 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, within: str) -> Da
 
 def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row that changes when any row does, whatever their order: derived tables are redone when it differs from the stored one."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0)).alias("sum"), F.coalesce(F.bit_xor(F.xxhash64(*cols)), F.lit(0)).alias("mix"))
+    # A null leaves xxhash64 as it is, so which columns are null is hashed too.
+    row = F.xxhash64(*cols, *[F.isnull(c) for c in cols])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("sum"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("mix"))
