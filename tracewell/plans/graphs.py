@@ -117,8 +117,7 @@ def graph_best_path(spark, d):
 
 
 def graph_edge_betweenness(spark, d):
-    few = packages(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    return _round(G.edge_betweenness(few), "score")
+    return _round(G.edge_betweenness(packages(spark, d)), "score")
 
 
 def _scored(spark, d):
