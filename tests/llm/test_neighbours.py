@@ -70,3 +70,39 @@ def test_border_of_the_cosine(spark):
     at = lambda c: np.r_[c, (1 - c * c) ** 0.5, np.zeros(6)]
     df = frame(spark, [("a", a), ("b", at(0.900005)), ("c", -at(0.899995)), ("d", -a)])
     assert {(r.key_a, r.key_b) for r in N.similar_pairs(df).collect()} == {("a", "b")}
+
+
+def test_lists_divided_by_a_second_level(spark, clustered, monkeypatch):
+    monkeypatch.setattr(N, "LIST", 32)
+    monkeypatch.setattr(N, "LISTS", 8)
+    df = frame(spark, clustered.items())
+    near, pairs = truth(clustered, 10, 0.9)
+    own = N.owners(df)
+    assert {m.sub for m in N.fit(df, own).values()} == {round(len(clustered) / 32 / 8)}
+    assert len({(r.key_a, r.key_b) for r in N.similar_pairs(df).collect()} & pairs) >= 0.98 * len(pairs)
+    found = {k: set() for k in clustered}
+    for r in N.neighbours(df).collect():
+        found[r["key"]].add(r.neighbour)
+    assert sum(len(found[k] & set(v)) for k, v in near.items()) >= 0.9 * 10 * len(near)
+
+
+def test_a_list_heavier_than_a_group(spark, monkeypatch):
+    """Half of all vectors point the same way, with lengths of their own, so no centroid divides them."""
+    monkeypatch.setattr(N, "GROUP", 60)
+    monkeypatch.setattr(N, "LIST", 64)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=12)
+    vectors = {f"{i:064x}": base * (1 + i) for i in range(200)} | {f"{1000 + i:064x}": rng.normal(size=12) for i in range(200)}
+    df = frame(spark, vectors.items())
+    assert any((m.split > 1).any() for m in N.fit(df, N.owners(df)).values())
+    got = {}
+    for r in N.neighbours(df).collect():
+        got.setdefault(r["key"], []).append((r.neighbour, r.cosine))
+    assert set(got) == set(vectors) and all(len(v) == 10 for v in got.values())
+    assert all(c > 0.99999 and n < f"{1000:064x}" for k, v in got.items() if k < f"{1000:064x}" for n, c in v)
+
+
+def test_an_unusable_row_of_a_key_on_the_border(spark):
+    at = lambda c: np.r_[c, (1 - c * c) ** 0.5, np.zeros(6)]
+    rows = [("a", at(1.0)), ("b", at(0.900005))] + [(k, [np.nan] * 7 + [float(i)]) for i in range(20) for k in "ab"]
+    assert [(r.key_a, r.key_b) for r in N.similar_pairs(frame(spark, rows)).collect()] == [("a", "b")]
