@@ -18,8 +18,9 @@ def truth(par):
     return out
 
 
-@pytest.mark.parametrize(("n", "at_most", "seed"), [(60, 400_000, 1), (300, 20, 2)])
-def test_against_walk(spark, n, at_most, seed):
+@pytest.mark.parametrize(("n", "at_most", "seed", "cell"), [(60, 400_000, 1, 13), (300, 20, 2, 3)])
+def test_against_walk(spark, monkeypatch, n, at_most, seed, cell):
+    monkeypatch.setattr(H, "CELL", cell)
     rnd = random.Random(seed)
     par = {f"n{i}": f"n{rnd.choice([max(0, i - 1), rnd.randrange(0, i), 0])}" for i in range(1, n)}
     par |= {"r1": "r2", "r2": "r3", "r3": "r1", "below": "r1", "deeper": "below", "self": "self", "two": "top"}

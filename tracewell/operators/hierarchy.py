@@ -6,9 +6,10 @@
 2. Euler tour. Each tree node has an entry and an exit element; the links between them follow from the first child, the next
    sibling and the parent. Siblings are ordered inside hash buckets and the buckets are chained, so the children of one parent
    are never sorted in one task.
-3. List ranking. All tours are ranked together by random-mate contraction: per round a quarter of the elements is spliced out
-   by one join of the remaining ones, until what is left fits RANK_LOCALLY and is ranked in one task; then the spliced
-   elements get their ranks back, round by round. Positions and depths (+1 at an entry, -1 at an exit) are ranked together.
+3. List ranking. All tours are ranked together by contraction: every round gives the elements new random priorities and splices out
+   those below both of their neighbours, a third of them, by one join in which every row takes part once. What is left of the last
+   round, RANK_LOCALLY elements at most, is ranked in one task; then the spliced elements get their ranks back, round by round.
+   Positions and depths (+1 at an entry, -1 at an exit) are ranked together.
 
 Entry and exit positions give the depth, the root, ancestors and descendants.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tracewell.runtime import Written, stripped, written
 
-#: A contracted list of at most so many elements (24 bytes each) is ranked in one task.
-RANK_LOCALLY = 400_000
+#: A contracted list of at most so many elements is ranked in one task, which takes it less time than a round's join.
+RANK_LOCALLY = 8_000
 #: Children of one parent are ordered in so many buckets.
 BUCKETS = 256
 
@@ -107,29 +108,23 @@ def _rank_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def rank(succ: DataFrame, at_most: int = RANK_LOCALLY) -> DataFrame:
     """(e, tail, w, d): for each element the last element of its list and the sums of w and d on the way there.
     succ: (e, nxt, w, d), one row per element but the last of each list."""
-    now, gone = written(succ), []
-    size = now.df.count()
-    round_no = 0
+    start, gone = written(succ), []
+    now, size, round_no = start.df, start.df.count(), 0
     while size > at_most:
-        coin = lambda c, k=round_no: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2))
-        live = now.df
-        # Spliced out: heads of a coin whose predecessor shows tails. The predecessor is the one row that points at it.
-        mates = live.where((coin("e") == 0) & (coin("nxt") == 1)).select("e", F.col("nxt").alias("m"), F.col("w").alias("pw"), F.col("d").alias("pd"))
-        heads = live.where(coin("e") == 1).select(F.col("e").alias("m"), "nxt", "w", "d")
+        priority = lambda c, k=round_no: F.xxhash64(c, F.lit(k))
+        # A row whose successor has the lower priority asks it to go; a row with the lower priority may be asked.
+        asks = priority("nxt") < priority("e")
+        mates = now.where(asks).select("e", F.col("nxt").alias("m"), F.col("w").alias("pw"), F.col("d").alias("pd"))
+        heads = now.where(~asks).select(F.col("e").alias("m"), "nxt", "w", "d")
         joined = written(mates.join(heads, "m", "full").select("e", "m", "nxt", "w", "d", "pw", "pd"))
-        spliced = joined.df.where(F.col("e").isNotNull() & F.col("nxt").isNotNull())
-        gone.append((joined, spliced.select(F.col("m").alias("e"), "nxt", "w", "d")))
-        kept = live.where((coin("e") == 0) & (coin("nxt") == 0))
-        ends = joined.df.where(F.col("nxt").isNull()).select("e", F.col("m").alias("nxt"), F.col("pw").alias("w"), F.col("pd").alias("d"))
-        alone = joined.df.where(F.col("e").isNull()).select(F.col("m").alias("e"), "nxt", "w", "d")
-        short = spliced.select("e", "nxt", (F.col("pw") + F.col("w")).alias("w"), (F.col("pd") + F.col("d")).alias("d"))
-        after = written(kept.unionByName(ends).unionByName(alone).unionByName(short))
-        now.drop()
-        now, round_no = after, round_no + 1
-        size = now.df.count()
-    ranked = now.df.repartition(1).mapInPandas(_rank_all, "e long, tail long, w long, d long")
+        both = F.col("e").isNotNull() & F.col("nxt").isNotNull()
+        gone.append((joined, joined.df.where(both).select(F.col("m").alias("e"), "nxt", "w", "d")))
+        step = lambda own, past: F.coalesce(F.col(own), F.lit(0)) + F.coalesce(F.col(past), F.lit(0))
+        now = joined.df.select(F.coalesce("e", "m").alias("e"), F.coalesce("nxt", "m").alias("nxt"), step("w", "pw").alias("w"), step("d", "pd").alias("d"))
+        size, round_no = now.count(), round_no + 1
+    ranked = now.repartition(1).mapInPandas(_rank_all, "e long, tail long, w long, d long")
     tables = [written(ranked)]
-    now.drop()
+    start.drop()
     for joined, out in reversed(gone):
         known = tables[-1].df
         ahead = known.select(F.col("e").alias("nxt"), F.col("tail").alias("t"), F.col("w").alias("aw"), F.col("d").alias("ad"))
@@ -175,8 +170,8 @@ def intervals(pairs: DataFrame, at_most: int = RANK_LOCALLY) -> DataFrame:
     )
 
 
-#: No tour has 2^LEVELS positions.
-LEVELS = 40
+#: No tour has 2^LEVELS positions. Cells above 2^CELL positions are divided.
+LEVELS, CELL = 40, 13
 
 
 def ancestors(spans: DataFrame) -> DataFrame:
@@ -188,11 +183,17 @@ def ancestors(spans: DataFrame) -> DataFrame:
     placed = spans.where(F.col("entry").isNotNull())
     inner = placed.where(F.col("leave") > F.col("entry") + 1)
     covers = inner.select("root", F.col("name").alias("ancestor"), F.col("depth").alias("above"), F.explode(_cells("entry + 1", "leave")).alias("cell"))
-    covers = covers.select("root", "ancestor", "above", "cell.level", "cell.at")
+    covers = covers.select("root", "ancestor", "above", "cell.level", "cell.at", F.explode(F.sequence(F.lit(0), _salts(F.col("cell.level")) - 1)).alias("salt"))
     top = F.expr("sequence(0, cast(ceil(log2(span + 1)) as int))")
     looked = placed.select("root", "name", "depth", "entry", F.explode(top).alias("level"))
-    looked = looked.select("root", "name", "depth", F.col("level").cast("long").alias("level"), F.expr("shiftright(entry, level)").alias("at"))
-    return looked.join(covers, ["root", "level", "at"]).select("name", "ancestor", (F.col("depth") - F.col("above")).alias("steps"))
+    looked = looked.select("root", "name", "depth", F.col("level").cast("long").alias("level"), F.expr("shiftright(entry, level)").alias("at"), F.pmod(F.xxhash64("name"), _salts(F.col("level"))).cast("int").alias("salt"))
+    return looked.join(covers, ["root", "level", "at", "salt"]).select("name", "ancestor", (F.col("depth") - F.col("above")).alias("steps"))
+
+
+def _salts(level):
+    """Into how many parts the nodes of a cell are divided: those of a large cell all look up the same few covers, so these are
+    repeated, a row for every CELL nodes it can be joined with."""
+    return F.least(F.pow(F.lit(2.0), F.greatest(level - CELL, F.lit(0))), F.lit(1024.0)).cast("int")
 
 
 def _cells(lo: str, hi: str):

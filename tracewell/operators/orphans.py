@@ -1,8 +1,12 @@
 """References to records that do not exist.
 
-Distinct non-null foreign keys are anti-joined against the parent keys; what is left, and the keys whose parents are all
-deleted or come late, is joined back to the counts per key and month. Only pre-aggregated rows are shuffled by key, so a key
-that holds a third of all rows is one row per map task when it reaches the join.
+1. All references, of whatever tables, become one frame (ref, key, at), each table read once, and are counted per key and month
+   with the first and last time in it. Map tasks count first, so a key that holds a third of all rows is one row per task and month.
+2. The distinct keys are anti-joined against the parent keys; keys whose parents are all deleted, or were first seen after some
+   reference, are found by a join on the same keys.
+3. What is left is joined back to the counts, which hold a few rows per key, so no key is hot there.
+Whether a month has a late reference is known from its first time. How many, in a month the parent was first seen in, is counted
+from the references of just those keys.
 
 Defined cases: a null key is no reference; a blank path is a key like any other; a null indexed_at of the referring row gives
 the period 'unknown' and is never late; a parent without any indexed_at is never late; repeated rows count in the report and
@@ -17,6 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.paths import canonical_path
+from tracewell.runtime import written
+
+#: Keys whose late references are counted one by one are broadcast up to so many (about 100 bytes each), joined by shuffle beyond.
+SEND_KEYS = 50_000
 
 
 @dataclass(frozen=True)
@@ -34,55 +42,66 @@ class Reference:
     parent_epoch: bool = False
 
 
-def _key(df: DataFrame, field: str, path: bool) -> Column:
+def _key(field: str, path: bool) -> Column:
     return canonical_path(F.col(field)) if path else F.col(field).cast("string")
 
 
-def references(refs: DataFrame, ref: Reference) -> DataFrame:
-    """(key, at) of every non-null reference."""
-    return refs.where(F.col(ref.ref_field).isNotNull()).select(_key(refs, ref.ref_field, ref.path).alias("key"), F.col(ref.ref_time).cast("timestamp").alias("at"))
-
-
-def parents(parent: DataFrame, ref: Reference) -> DataFrame:
-    """One row per parent key: when it was first seen, and whether every row of it is deleted."""
-    at = F.col(ref.parent_time)
-    at = F.timestamp_seconds(at) if ref.parent_epoch else at.cast("timestamp")
-    rows = parent.where(F.col(ref.parent_field).isNotNull())
-    return rows.select(_key(rows, ref.parent_field, ref.path).alias("key"), at.alias("at"), F.col("deleted_at").isNotNull().alias("gone")).groupBy("key").agg(
-        F.min("at").alias("first_at"), F.min("gone").alias("all_gone")
-    )
-
-
-def orphans(refs: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
-    """(ref_table, ref_field, missing_key, period, state, refs): the orphan references of one foreign key, with their rows."""
-    rows = references(refs, ref)
-    period = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown"))
-    counted = rows.groupBy("key", "at").agg(F.count(F.lit(1)).alias("refs")).withColumn("period", period)
-    known = parents(parent, ref)
-    distinct_keys = counted.select("key").distinct()
-    missing = distinct_keys.join(known, "key", "left_anti").select("key", F.lit("missing").alias("state"), F.lit(None).cast("timestamp").alias("first_at"))
-    flawed = known.select("key", F.when(F.col("all_gone"), "deleted").otherwise("late").alias("state"), "first_at")
-    # Of the parents that are there, only the deleted ones and those first seen after some reference to them can matter.
-    earliest = counted.groupBy("key").agg(F.min("at").alias("first_ref"))
-    flawed = earliest.join(flawed, "key").where((F.col("state") == "deleted") | (F.col("first_at") > F.col("first_ref"))).select("key", "state", "first_at")
-    bad = missing.unionByName(flawed)
-    back = counted.join(bad, "key").where((F.col("state") != "late") | (F.col("first_at") > F.col("at")))
-    return back.groupBy("key", "period", "state").agg(F.sum("refs").alias("refs")).select(
-        F.lit(ref.ref_table).alias("ref_table"), F.lit(ref.ref_field).alias("ref_field"), F.col("key").alias("missing_key"), "period", "state", "refs"
-    )
-
-
-def orphans_of(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
-    """The orphans of several foreign keys; tables: by name."""
-    parts = [orphans(tables[r.ref_table], tables[r.parent_table], r) for r in refs]
-    whole = parts[0]
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
     for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        out = out.unionByName(part)
+    return out
+
+
+def references(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
+    """(ref, key, at, period) of every non-null reference; ref is its place in the list."""
+    parts = []
+    for name, time in sorted({(r.ref_table, r.ref_time) for r in refs}):
+        fields = [F.struct(F.lit(i).alias("ref"), _key(r.ref_field, r.path).alias("key")) for i, r in enumerate(refs) if (r.ref_table, r.ref_time) == (name, time)]
+        parts.append(tables[name].select(F.col(time).cast("timestamp").alias("at"), F.explode(F.array(*fields)).alias("r")).select("r.ref", "r.key", "at"))
+    return _union(parts).where(F.col("key").isNotNull()).withColumn("period", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")))
+
+
+def parents(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
+    """One row per (ref, key) of the parents: when it was first seen, and whether every row of it is deleted."""
+    parts = []
+    for i, r in enumerate(refs):
+        at = F.col(r.parent_time)
+        at = F.timestamp_seconds(at) if r.parent_epoch else at.cast("timestamp")
+        parts.append(tables[r.parent_table].select(F.lit(i).alias("ref"), _key(r.parent_field, r.path).alias("key"), at.alias("at"), F.col("deleted_at").isNotNull().alias("gone")))
+    return _union(parts).where(F.col("key").isNotNull()).groupBy("ref", "key").agg(F.min("at").alias("first_at"), F.min("gone").alias("all_gone"))
+
+
+def _months(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(ref, key, period, state, refs, last_ref, first_at) of the months with orphan references."""
+    counted = written(rows.groupBy("ref", "key", "period").agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_ref"), F.max("at").alias("last_ref"))).df
+    keys = counted.groupBy("ref", "key").agg(F.min("first_ref").alias("earliest"))
+    missing = keys.join(known, ["ref", "key"], "left_anti").select("ref", "key", F.lit("missing").alias("state"), F.lit(None).cast("timestamp").alias("first_at"))
+    flawed = keys.join(known, ["ref", "key"]).where(F.col("all_gone") | (F.col("first_at") > F.col("earliest")))
+    flawed = flawed.select("ref", "key", F.when(F.col("all_gone"), "deleted").otherwise("late").alias("state"), "first_at")
+    back = counted.join(missing.unionByName(flawed), ["ref", "key"])
+    return back.where((F.col("state") != "late") | (F.col("first_at") > F.col("first_ref"))).select("ref", "key", "period", "state", "refs", "last_ref", "first_at")
+
+
+def _named(refs: list[Reference]) -> list[Column]:
+    of = lambda field: F.element_at(F.array(*[F.lit(getattr(r, field)) for r in refs]), F.col("ref") + 1).alias(field)
+    return [of("ref_table"), of("ref_field")]
+
+
+def orphans(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
+    """(ref_table, ref_field, missing_key, period, state) of the distinct orphan references; tables: by name."""
+    return _months(references(tables, refs), parents(tables, refs)).select(*_named(refs), F.col("key").alias("missing_key"), "period", "state")
 
 
-def orphan_report(found: DataFrame) -> DataFrame:
+def orphan_report(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
     """Orphan references per table, field, period and state: distinct keys and referring rows."""
-    return found.groupBy("ref_table", "ref_field", "period", "state").agg(
-        F.count(F.lit(1)).alias("orphan_keys"), F.sum("refs").alias("orphan_rows")
-    )
+    rows = references(tables, refs)
+    months = written(_months(rows, parents(tables, refs))).df
+    # A month that holds references from before and after the parent's first time.
+    divided = (F.col("state") == "late") & (F.col("last_ref") >= F.col("first_at"))
+    part = months.where(divided).select("ref", "key", "period", "state", "first_at")
+    sent = F.broadcast(part) if part.count() <= SEND_KEYS else part
+    late = rows.join(sent, ["ref", "key", "period"]).where(F.col("at") < F.col("first_at")).groupBy("ref", "key", "period", "state").agg(F.count(F.lit(1)).alias("refs"))
+    whole = months.where(~F.coalesce(divided, F.lit(False))).select("ref", "key", "period", "state", "refs").unionByName(late)
+    found = whole.groupBy("ref", "period", "state").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("refs").alias("orphan_rows"))
+    return found.select(*_named(refs), "period", "state", "orphan_keys", "orphan_rows")

@@ -34,17 +34,17 @@ def p2_descendants(spark, d):
     return hierarchy.ancestors(_spans(spark, d)).select(F.col("ancestor").alias("node_fqn"), F.col("name").alias("descendant_fqn"), "steps")
 
 
-def _orphans(spark, d):
-    names = {r.ref_table for r in REFERENCES} | {r.parent_table for r in REFERENCES}
-    return orphans.orphans_of({n: table(spark, d, n) for n in names}, REFERENCES)
+def _tables(spark, d):
+    return {n: table(spark, d, n) for r in REFERENCES for n in (r.ref_table, r.parent_table)}
 
 
 def p4_found(spark, d):
-    return _orphans(spark, d).drop("refs")
+    """The distinct orphan references per key and month."""
+    return orphans.orphans(_tables(spark, d), REFERENCES)
 
 
 def p4_report(spark, d):
-    return orphans.orphan_report(_orphans(spark, d))
+    return orphans.orphan_report(_tables(spark, d), REFERENCES)
 
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"

@@ -26,13 +26,15 @@ def session(app: str = "tracewell", cpus: str | int = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset (local runs,
-    tests) a temporary folder is made and set, so later calls find the same one."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir; where that is unset, a local session makes a
+    temporary one and sets it, so later calls find the same, and any other is refused."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = set_on_context.get() if set_on_context.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
