@@ -41,6 +41,14 @@ def test_against_walk(spark, monkeypatch, n, at_most, seed, cell):
     assert all(paths[k] == (" > ".join(w) if w else None) for k, (_, _, w) in want.items())
 
 
+def test_more_trees_than_one_task_ranks(spark):
+    """Contraction ends although the lists are more than what is ranked in one task."""
+    edges = spark.range(200).select(F.concat(F.lit("c"), "id").alias("child_fqn"), F.concat(F.lit("p"), (F.col("id") / 2).cast("int")).alias("parent_fqn"), F.lit("extends").alias("kind"))
+    got = H.intervals(H.links(edges), 10).collect()
+    assert len(got) == 300 and all(r["depth"] == (0 if r["name"][0] == "p" else 1) for r in got)
+    assert all(r["root"] == (r["parent"] or r["name"]) for r in got)
+
+
 def test_empty_and_only_rings(spark):
     schema = "child_fqn string, parent_fqn string, kind string"
     assert H.intervals(H.links(spark.createDataFrame([], schema))).count() == 0

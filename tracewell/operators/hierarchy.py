@@ -7,8 +7,9 @@
    sibling and the parent. Siblings are ordered inside hash buckets and the buckets are chained, so the children of one parent
    are never sorted in one task.
 3. List ranking. All tours are ranked together by contraction: every round gives the elements new random priorities and splices out
-   those below both of their neighbours, a third of them, by one join in which every row takes part once. What is left of the last
-   round, RANK_LOCALLY elements at most, is ranked in one task; then the spliced elements get their ranks back, round by round.
+   those below both of their neighbours, a third of them, by one join in which every row takes part once. A list that is down to one
+   row is done. What is left of the last round, RANK_LOCALLY elements at most, is ranked in one task; then the spliced elements get
+   their ranks back, round by round.
    Positions and depths (+1 at an entry, -1 at an exit) are ranked together.
 
 Entry and exit positions give the depth, the root, ancestors and descendants.
@@ -63,8 +64,9 @@ def peel(up: DataFrame) -> Written:
 
 
 def _tour(tree: DataFrame) -> DataFrame:
-    """(e, nxt, w): the successor of each tour element; an entry is 2*id, an exit 2*id+1. w is +1 for a step down, -1 for a
-    step up, 0 for a step aside; the exit of a root has no row. tree: (id, parent) with a null parent at a root."""
+    """(e, nxt, w, first, last): the successor of each tour element; an entry is 2*id, an exit 2*id+1. w is +1 for a step down, -1 for
+    a step up, 0 for a step aside; the exit of a root has no row. first: nothing leads to it; last: it leads to the end of its list.
+    tree: (id, parent) with a null parent at a root."""
     kids = tree.where(F.col("parent").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
     inside = Window.partitionBy("parent", "bucket").orderBy("id")
     kids = kids.withColumn("sibling", F.lead("id").over(inside))
@@ -75,12 +77,14 @@ def _tour(tree: DataFrame) -> DataFrame:
     chained = ends.where(F.col("after").isNotNull()).select(F.col("last").alias("id"), F.col("after").alias("sibling"))
     to_parent = ends.where(F.col("after").isNull()).select(F.col("last").alias("id"), "parent")
     first = ends.where(F.col("n") == 1).select(F.col("parent").alias("id"), F.col("first").alias("kid"))
-    entry, leave = F.col("id") * 2, F.col("id") * 2 + 1
-    aside = to_sibling.unionByName(chained).select(leave.alias("e"), (F.col("sibling") * 2).alias("nxt"), F.lit(0).cast("long").alias("w"))
-    rise = to_parent.select(leave.alias("e"), (F.col("parent") * 2 + 1).alias("nxt"), F.lit(-1).cast("long").alias("w"))
+    entry, leave, no = F.col("id") * 2, F.col("id") * 2 + 1, F.lit(False)
+    aside = to_sibling.unionByName(chained).select(leave.alias("e"), (F.col("sibling") * 2).alias("nxt"), F.lit(0).cast("long").alias("w"), no.alias("first"), no.alias("last"))
+    to_parent = to_parent.join(tree.select(F.col("id").alias("parent"), F.col("parent").isNull().alias("last")), "parent")
+    rise = to_parent.select(leave.alias("e"), (F.col("parent") * 2 + 1).alias("nxt"), F.lit(-1).cast("long").alias("w"), no.alias("first"), "last")
     # A step aside goes from an exit at one depth to an entry at the same depth; an entry to its own exit too.
     down = tree.join(first, "id", "left").select(
-        entry.alias("e"), F.coalesce(F.col("kid") * 2, leave).alias("nxt"), F.when(F.col("kid").isNull(), 0).otherwise(1).cast("long").alias("w")
+        entry.alias("e"), F.coalesce(F.col("kid") * 2, leave).alias("nxt"), F.when(F.col("kid").isNull(), 0).otherwise(1).cast("long").alias("w"),
+        F.col("parent").isNull().alias("first"), (F.col("parent").isNull() & F.col("kid").isNull()).alias("last"),
     )
     return aside.unionByName(rise).unionByName(down)
 
@@ -107,22 +111,32 @@ def _rank_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def rank(succ: DataFrame, at_most: int = RANK_LOCALLY) -> DataFrame:
     """(e, tail, w, d): for each element the last element of its list and the sums of w and d on the way there.
-    succ: (e, nxt, w, d), one row per element but the last of each list."""
+    succ: (e, nxt, w, d, first, last), one row per element but the last of each list."""
     start, gone = written(succ), []
-    now, size, round_no = start.df, start.df.count(), 0
+    whole = F.col("first") & F.col("last")
+    ranks = lambda rows: rows.select("e", F.col("nxt").alias("tail"), "w", "d")
+    now, done = start.df.where(~whole), [ranks(start.df.where(whole))]
+    size, round_no = now.count(), 0
     while size > at_most:
         priority = lambda c, k=round_no: F.xxhash64(c, F.lit(k))
         # A row whose successor has the lower priority asks it to go; a row with the lower priority may be asked.
-        asks = priority("nxt") < priority("e")
-        mates = now.where(asks).select("e", F.col("nxt").alias("m"), F.col("w").alias("pw"), F.col("d").alias("pd"))
-        heads = now.where(~asks).select(F.col("e").alias("m"), "nxt", "w", "d")
-        joined = written(mates.join(heads, "m", "full").select("e", "m", "nxt", "w", "d", "pw", "pd"))
+        asks = (priority("nxt") < priority("e")) & ~F.col("last")
+        mates = now.where(asks).select("e", F.col("nxt").alias("m"), F.col("w").alias("pw"), F.col("d").alias("pd"), F.col("first").alias("mate_first"))
+        heads = now.where(~asks).select(F.col("e").alias("m"), "nxt", "w", "d", "first", "last")
+        joined = written(mates.join(heads, "m", "full").select("e", "m", "nxt", "w", "d", "pw", "pd", "first", "mate_first", "last"))
         both = F.col("e").isNotNull() & F.col("nxt").isNotNull()
         gone.append((joined, joined.df.where(both).select(F.col("m").alias("e"), "nxt", "w", "d")))
         step = lambda own, past: F.coalesce(F.col(own), F.lit(0)) + F.coalesce(F.col(past), F.lit(0))
-        now = joined.df.select(F.coalesce("e", "m").alias("e"), F.coalesce("nxt", "m").alias("nxt"), step("w", "pw").alias("w"), step("d", "pd").alias("d"))
+        now = joined.df.select(
+            F.coalesce("e", "m").alias("e"), F.coalesce("nxt", "m").alias("nxt"), step("w", "pw").alias("w"), step("d", "pd").alias("d"),
+            F.coalesce("mate_first", "first").alias("first"), F.coalesce("last", F.lit(False)).alias("last"),
+        )
+        done.append(ranks(now.where(whole)))
+        now = now.where(~whole)
         size, round_no = now.count(), round_no + 1
-    ranked = now.repartition(1).mapInPandas(_rank_all, "e long, tail long, w long, d long")
+    ranked = now.select("e", "nxt", "w", "d").repartition(1).mapInPandas(_rank_all, "e long, tail long, w long, d long")
+    for rows in done:
+        ranked = ranked.unionByName(rows)
     tables = [written(ranked)]
     start.drop()
     for joined, out in reversed(gone):
@@ -148,7 +162,7 @@ def intervals(pairs: DataFrame, at_most: int = RANK_LOCALLY) -> DataFrame:
     up = written(ids.select("id").join(up, "id", "left").select("id", F.col("parent_id").alias("parent"))).df
     ringed = peel(up).df.select("id").withColumn("ringed", F.lit(True))
     tree = written(up.join(ringed, "id", "left_anti")).df
-    ranks = rank(_tour(tree).select("e", "nxt", F.lit(1).cast("long").alias("w"), F.col("w").alias("d")), at_most)
+    ranks = rank(_tour(tree).select("e", "nxt", F.lit(1).cast("long").alias("w"), F.col("w").alias("d"), "first", "last"), at_most)
     # From an element to the root's exit: w steps, and d = depth of the exit (0) - depth of the element.
     spots = ranks.select(F.shiftright("e", 1).alias("id"), (F.col("e") % 2).alias("side"), F.shiftright("tail", 1).alias("root_id"), "w", "d")
     entering = F.col("side") == 0
