@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from tracewell.llm import conversations as C
 
 SCHEMA = "id long, session_id string, role string, content string, created_at string, context_json string"
@@ -13,10 +11,10 @@ def test_instants(spark):
         "2025-09-02T11:10:33.315369898Z": (1756811433, 315369898), "2025-09-02T11:10:33Z": (1756811433, 0), "2025-09-02 11:10:33": (1756811433, 0),
         "2025-09-02T13:10:33.5+02:00": (1756811433, 500_000_000), "2025-09-02T06:10:33-05:00": (1756811433, 0), "1756811433315": (1756811433, 315_000_000),
         "1756811433": (1756811433, 0), "1756811433315369898": (1756811433, 315369898), "0000-00-00": None, "n/a": None, "": None, None: None, "yesterday": None,
-        "2025-13-01T00:00:00Z": None, "2025-09-02T25:00:00Z": None,
+        "2025-09-02": (1756771200, 0), "2025-09-02T11:10|33Z": None, " 2025-09-02t11:10:33z ": (1756811433, 0), "2025-13-01T00:00:00Z": None, "2025-09-02T25:00:00Z": None,
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    got = {r[0]: r[1] and tuple(r[1]) for r in df.select("t", C.instant(F.col("t"))).collect()}
+    got = {r.t: None if r.s is None else (r.s, r.ns) for r in C.instants(df, "t").collect()}
     assert got == cases
 
 
@@ -53,6 +51,18 @@ def test_slabs_give_the_same(spark):
     assert kept(spark, rows)
 
 
+def test_a_hot_conversation_within_one_second(spark):
+    """The slabs don't rest on the time alone."""
+    rows = [(i, "s", "user" if i % 2 == 0 else "bot", f"c{i}", "2025-01-01T00:00:00Z") for i in range(400)]
+    assert kept(spark, rows, 10) == [("s", i + 1, i) for i in range(400)]
+    df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    assert C._slabbed(C.messages(df), 10)[0].select("slab").distinct().count() > 50
+    none = [(i, "s", r, c, None) for i, _, r, c, _ in rows]
+    df = spark.createDataFrame([(*r, None) for r in none], SCHEMA)
+    assert C._slabbed(C.messages(df), 10)[0].select("slab").distinct().count() > 50
+    assert [(r.kept, r.reason) for r in C.verdicts(df, 10).collect()] == [(False, "unreadable")]
+
+
 def test_empty_and_clashing_columns(spark):
     none = spark.createDataFrame([], SCHEMA + ", symbol string, slab int, n string")
     assert C.conversations(none).count() == 0

@@ -41,6 +41,41 @@ def test_hard_contents():
     assert S.cut(b"\x80\x80" + b"a" * 200, 100, 10)[0][0] == 0
 
 
+def test_wide_overlaps():
+    for limit, overlap in ((120, 100), (60, 50), (50, 49), (20, 12)):
+        content = b"word " * 300
+        got = S.cut(content, limit, overlap)
+        check(content, limit, overlap, got)
+    check("中".encode() * 50, 12, 5, S.cut("中".encode() * 50, 12, 10))
+
+
+def least_cost(content, limit, overlap):
+    """The cheapest way over all natural boundaries, one by one."""
+    raw = S.np.frombuffer(content, S.np.uint8)
+    place, penalty, _ = S._boundaries(raw)
+    n, end, cut = len(content), [0, *place.tolist(), len(content)], [0, *penalty.tolist(), 0]
+    start = [max(0, e - overlap) for e in end]
+    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
+    even = (n + (pieces - 1) * overlap) / pieces
+    best = [0.0] + [float("inf")] * (len(end) - 1)
+    for j in range(1, len(end)):
+        for i in range(j):
+            if end[j] - start[i] <= limit:
+                best[j] = min(best[j], best[i] + cut[j] + S.UNEVEN * ((end[j] - start[i]) / even - 1) ** 2)
+    return best[-1], dict(zip(end, cut, strict=True)), even
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abc   ..\n#"), min_size=150, max_size=700), st.sampled_from([(90, 0), (90, 30), (60, 40), (150, 10)]))
+def test_no_way_over_the_boundaries_is_cheaper(text, shape):
+    content = text.encode()
+    if len(content) > shape[0]:
+        least, cut, even = least_cost(content, *shape)
+        got = S.cut(content, *shape)
+        cost = sum(cut.get(b, S.CHARACTER) + S.UNEVEN * ((b - a) / even - 1) ** 2 for a, b, _ in got)
+        assert cost <= least + 1e-6
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_items(spark, empty):
     text = "Été. " * 100

@@ -32,7 +32,7 @@ def p3_neighbours(spark, d):
 
 def p5_found(spark, d):
     """The turns of the conversations that are kept."""
-    return chat.conversations(table(spark, d, "agent_messages")).select("session_id", "turn_no", F.col("id").alias("message_id"))
+    return chat.conversations(table(spark, d, "agent_messages"), content=False).select("session_id", "turn_no", F.col("id").alias("message_id"))
 
 
 def p5_conversations(spark, d):
@@ -43,7 +43,7 @@ def p5_conversations(spark, d):
 
 def p5_verdicts(spark, d):
     """Every session with whether it is kept and, if not, why."""
-    return chat.turns(table(spark, d, "agent_messages"))[1]
+    return chat.verdicts(table(spark, d, "agent_messages"))
 
 
 def p6_ids(spark, d):

@@ -3,17 +3,18 @@
 An item is a byte range of a document's text. Items above their limit are cut by dynamic programming over boundary positions:
 the cost of a cut is the penalty of its boundary (before a heading, a paragraph, a line, a sentence, a word, a character, from
 cheap to dear; dearer inside a fenced block or right behind a heading) and each piece adds the square of its distance from
-equal sizes. A piece starts the wanted overlap before the cut, moved back to the start of a character. The best boundary of
-each cell of a 32nd of a piece is a candidate, and where a cell has none, the first character of it, so the work is linear in
-the item's length.
+equal sizes. A piece starts the wanted overlap before the cut, moved back to the start of a character. Every natural boundary is a
+candidate, and where there is none for a 32nd of a piece, a character. The boundaries are settled block by block in the order of
+the text; a block's ends look back no further than the limit, so the work is linear in the item's length.
 
 Only the byte lengths decide which texts are needed: items whose range cannot exceed the limit never meet the texts, and of the
 others only the item's own bytes go to Python, and only if they exceed the limit.
 
 Defined cases: of the rows of one chunk_id the one with the greatest updated_at, then id, holds; a null chunk_id is no item; a
 null or unknown granularity has no limit; null or reversed ranges and missing documents have no content; a range is taken as
-far as the text reaches, from 0 on; an overlap of more than half the limit counts as half; a character longer than the limit
-is a piece of its own. doc_id is unique.
+far as the text reaches, from 0 on; an overlap of the limit or more counts as half the limit; one that leaves no piece room to
+advance by a character is cut to what always does, the limit less 7 bytes, or to none; a character longer than the limit is a
+piece of its own. doc_id is unique.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ KINDS = {HEADING: "heading", PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "se
 TORN = 12
 #: Weight of a piece's squared relative distance from equal sizes, against the penalties.
 UNEVEN = 24.0
-CELLS = 32
+#: Parts of a piece that have a candidate each, and boundaries that are settled together.
+CELLS, BLOCK = 32, 256
+#: A start is moved back by 3 bytes at most, and a character has at most 4.
+ADVANCE = 7
 
 
 def _boundaries(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,22 +81,27 @@ def cut(content: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     n = len(content)
     if n <= limit:
         return [(0, n, "end")]
-    overlap = max(0, min(overlap, limit // 2))
     raw = np.frombuffer(content, np.uint8)
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
     heads = heads if len(heads) and heads[0] == 0 else np.r_[0, heads]
-    span = max(1, limit - overlap - 3)
-    cell = max(1, span // CELLS)
-    place, penalty, kind = _boundaries(raw)
-    group = place // cell
-    # The cheapest boundary of a cell; of equal ones the last.
-    order = np.lexsort((-place, penalty, group))
-    chosen = order[np.r_[True, np.diff(group[order]) != 0]] if len(order) else order
-    bare = np.setdiff1d(np.arange(n // cell + 1), group[chosen])
-    at = heads[np.minimum(np.searchsorted(heads, bare * cell), len(heads) - 1)]
-    at = np.unique(at[(at // cell == bare) & (at > 0)])
-    end = np.r_[place[chosen], at]
-    penalty, kind = np.r_[penalty[chosen], np.full(len(at), CHARACTER)], np.r_[kind[chosen], np.full(len(at), CHARACTER)]
+    found = _boundaries(raw)
+    overlap = max(0, overlap if overlap < limit else limit // 2)
+    for shared in dict.fromkeys((overlap, max(0, min(overlap, limit - ADVANCE)))):
+        if pieces := _best_cuts(n, limit, shared, heads, *found):
+            return pieces
+    return _by_character(heads, n, limit)
+
+
+def _best_cuts(n: int, limit: int, overlap: int, heads: np.ndarray, place: np.ndarray, penalty: np.ndarray, kind: np.ndarray) -> list[tuple[int, int, str]]:
+    cell = max(1, (limit - overlap - 3) // CELLS)
+    # Characters where there is no boundary for more than a cell.
+    known = np.r_[0, place, n]
+    gaps = np.flatnonzero(np.diff(known) > cell)
+    times = (known[gaps + 1] - known[gaps] - 1) // cell
+    spots = np.repeat(known[gaps], times) + cell * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1)
+    at = np.setdiff1d(heads[np.maximum(np.searchsorted(heads, spots, "right") - 1, 0)], known)
+    end = np.r_[place, at]
+    penalty, kind = np.r_[penalty, np.full(len(at), CHARACTER)], np.r_[kind, np.full(len(at), CHARACTER)]
     order = np.argsort(end, kind="stable")
     end, penalty, kind = np.r_[0, end[order], n], np.r_[0, penalty[order], 0].astype(float), np.r_[0, kind[order], 0]
     start = heads[np.maximum(np.searchsorted(heads, end - overlap, "right") - 1, 0)]
@@ -102,23 +111,31 @@ def cut(content: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     low = np.searchsorted(start, end - limit, "left")
     best, back = np.full(len(end), np.inf), np.zeros(len(end), np.int64)
     best[0] = 0
-    scaled = start / even
-    for j in range(1, len(end)):
-        i = low[j]
-        if i >= j:
-            continue
-        cost = end[j] / even - 1 - scaled[i:j]
+    ends, starts, a = end / even - 1, start / even, 1
+    while a < len(end):
+        # Up to half a piece at a time: what begins and ends inside a block is rare, and settled by repeating.
+        z = min(a + BLOCK, max(a + 1, int(np.searchsorted(end, end[a] + max(1, (limit - overlap) // 2)))))
+        rows, first = np.arange(a, z), min(low[a], a - 1)
+        cols = np.arange(first, z)
+        cost = ends[a:z, None] - starts[first:z]
         cost *= cost * UNEVEN
-        cost += best[i:j]
-        k = cost.argmin()
-        best[j], back[j] = cost[k] + penalty[j], i + k
+        cost[(cols < low[a:z, None]) | (cols >= rows[:, None])] = np.inf
+        while True:
+            total = cost + best[first:z]
+            at = total.argmin(1)
+            now = total[rows - a, at] + penalty[a:z]
+            better = now < best[a:z]
+            if not better.any():
+                break
+            best[a:z], back[a:z] = np.where(better, now, best[a:z]), np.where(better, first + at, back[a:z])
+        a = z
     if np.isinf(best[-1]):
-        return _by_character(heads, n, limit)
-    ends = [len(end) - 1]
-    while ends[-1]:
-        ends.append(back[ends[-1]])
-    ends = ends[::-1]
-    return [(int(start[i]), int(end[j]), KINDS[int(kind[j])] if j < len(end) - 1 else "end") for i, j in zip(ends, ends[1:], strict=False)]
+        return []
+    way = [len(end) - 1]
+    while way[-1]:
+        way.append(back[way[-1]])
+    way = way[::-1]
+    return [(int(start[i]), int(end[j]), KINDS[int(kind[j])] if j < len(end) - 1 else "end") for i, j in zip(way, way[1:], strict=False)]
 
 
 def _by_character(heads: np.ndarray, n: int, limit: int) -> list[tuple[int, int, str]]:
