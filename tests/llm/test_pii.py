@@ -60,3 +60,19 @@ def test_redaction_and_empty(spark, found):
 def test_reliabilities_follow_agreement():
     sure = P.reliabilities({"++0": 500, "--0": 480, "+-0": 10, "0+0": 50, "00+": 5})
     assert sure["++0"] > 0.9 > 0.1 > sure["--0"] and sure["0+0"] > 0.5
+
+
+@pytest.mark.parametrize("n", [5, 70, 130, 3000])
+def test_long_local_parts(n):
+    """An address is taken from its first character on, however long its local part is."""
+    text = "mail to " + "a" * n + ".b-c@post.example now"
+    finder = P.Finder({"given": set(P.GIVEN), "family": set(), "town": set()})
+    assert [(a, b) for kind, a, b, *_ in finder.candidates(text) if kind == "email"] == [(8, len(text) - 4)]
+
+
+def test_repeated_rows_give_their_items_each(spark):
+    rows = [(i, t) for i, t in enumerate(corpus())]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    got = P.items(df).groupBy("doc_id").count().collect()
+    once = {r.doc_id: r["count"] for r in P.items(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()}
+    assert {r.doc_id: r["count"] for r in got if r.doc_id < 50} == {k: 2 * v for k, v in once.items() if k < 50}

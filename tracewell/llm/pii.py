@@ -7,12 +7,16 @@ Weak supervision in four steps:
 2. Candidate spans are found by an automaton over all gazetteer words and street words, and by digit runs; labelers (patterns,
    gazetteers, words on either side, shapes) vote for or against each candidate or abstain.
 3. Expectation-maximisation over the counts of all vote patterns estimates how reliable each labeler is, and from that how likely
-   each pattern is real. The counts cover all candidates.
+   each pattern is real. The counts cover all candidates. The words next to likely and unlikely candidates are compared, and those
+   that go with one or the other become two more labelers, one for either side, after which the estimate is made again.
 4. A logistic span classifier is trained on at most TRAIN candidates of a type (by hash), with those likelihoods as soft labels
-   and votes, words around and shapes as features, and decides every candidate. Of overlapping ones the likeliest holds.
+   and votes, words around and shapes as features, and decides every candidate. Of overlapping ones the likeliest hold.
 
 Texts are read twice, with nothing shuffled but counts and candidates. Offsets are code points.
 
+Stated limits: an address lies between 60 characters before and 110 after its street word; the words that speak for or against a
+candidate are sought within 36 characters of it; what leads a family name (initials, particles, a given name not known) within 45.
+
 Defined cases: null and empty texts have no items; texts of any length are read whole; items do not overlap; repeated rows give
 their items each; an empty table gives none.
 """
@@ -27,7 +31,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.runtime import written
@@ -38,6 +43,8 @@ VAGUE = "person_name?"
 #: Candidates of a type the classifier is trained on, at most; features of a type.
 TRAIN, FEATURES = 20_000, 1 << 13
 LIKELY = 0.5
+#: A word next to a type's candidates becomes a cue if it occurs so often there, and their odds differ by so much (natural logarithm).
+CUE_TIMES, CUE_ODDS = 20, 1.0
 
 # A seed of given names of several languages; words that are also given names; titles; particles.
 GIVEN = """aisha ali alma amara ana andrea anna anne anne-lise anouk antonio astrid begoña ben benno bram carla carlos carmen celia chen chidi chloe claire
@@ -153,7 +160,7 @@ def gazetteers(documents: DataFrame) -> dict[str, set[str]]:
 
 # ---- step 2: candidates and votes
 
-_LOCAL = re.compile(rf"(?:[A-Za-z0-9À-ÖØ-öø-ÿ_%+]+[.\-'])*[A-Za-z0-9À-ÖØ-öø-ÿ_%+]+$")
+_LOCAL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ_%+]")
 _AT = re.compile(rf"[ {_HIDDEN}]?(?:[(\[{{<] ?(?:at|@) ?[)\]}}>]|@)[ {_HIDDEN}]?| at ", re.I)
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.| ?[(\[{{] ?(?:dot|\.) ?[)\]}}] ?| dot ){_LABEL})*", re.I)
@@ -177,7 +184,7 @@ _PHONE = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<p{k}>{f})" for k, f
 _IDS = [
     ("ssn", re.compile(r"\d{3}([-. ]?)\d{2}\1\d{4}")),
     ("ni", re.compile(r"[A-Z]{2}[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[A-Z]", re.I)),
-    ("tax", re.compile(r"\d\d([ /]?)\d{3}\1\d{3}[ ]?\d{3}|\d\d/\d{3}/\d{5,6}")),
+    ("tax", re.compile(r"[1-9]\d([ /]?)\d{3}\1\d{3}[ ]?\d{3}|\d\d/\d{3}/\d{5,6}")),
     ("nir", re.compile(r"[12]([ .]?)\d\d\1\d\d\1\d[\dAB]\1\d{3}\1\d{3}(?:\1\d\d)?")),
     ("dni", re.compile(r"\d\d([. ]?)\d{3}\1\d{3}[ -]?[A-Z]", re.I)),
     ("pass", re.compile(r"(?:P<)?[A-Z]{1,2} ?\d{3} ?\d{4}|(?:P<)[A-Z]{2,3}\d{5,7}[A-Z]?|[A-Z]\d\d[A-Z]{2}\d{4}|[A-Z]{2}\d{6}[A-Z]")),
@@ -208,22 +215,22 @@ _LAST_UNIT = re.compile(rf", {_UNIT}(?![A-Za-z0-9])", re.I)
 
 _LEFT = {
     "email": re.compile(r"(?:mail|e-mail|email|contact|kontakt|write|to|cc|from|user|bounced|copie à|copia para|escribir a|ou à|oder|an|for|:|<|=|\"|'|\|)[ :=\"'<(]*$", re.I),
-    "phone": re.compile(r"(?:call|tel|tel\.|phone|telephone|mobile|ring|text me on|whatsapp|number is|fax|au|al|oder|or|ruf|anrufen|電話は|tel:|signal|desk)[ :=\"'(\]]*$", re.I),
-    "id_number": re.compile(r"(?:ssn|social|number|insurance|steuer-id|tax id|tax|passport|no\.|dni|nie|nif|\bid|sociale|card|reads|mine is|travels on|nummer|ausweis)[ :=\"'(]*$", re.I),
-    "street_address": re.compile(r"(?:at|lives at|address|habite|wohnt jetzt in|in|vive en|deliver to|livraison au|lieferung an|paquete a|ship_to|home|from|to|goes to|pick up at|tenant at|lease for|,)[ :=\"'(]*$", re.I),
+    "phone": re.compile(r"(?:call|tel|tel\.|phone|telephone|mobile|ring|whatsapp|fax|au|al|oder|or|ruf|anrufen|電話は|tel:|signal)[ :=\"'(\]]*$", re.I),
+    "id_number": re.compile(r"(?:ssn|social|number|insurance|steuer-id|tax id|tax|passport|no\.|dni|nie|nif|\bid|sociale|card|nummer|ausweis)[ :=\"'(]*$", re.I),
+    "street_address": re.compile(r"(?:at|address|habite|wohnt|in|vive en|au|an|home|from|to|,)[ :=\"'(]*$", re.I),
     "person_name": re.compile(r"(?:\b(?:from|by|owner|assignee|holder|name|with|thanks|hi|hello|hey|dear|hola|hallo|bonjour|ask for|ask|ring|says|for|von|par|de|bitte|contacter|llamar a|demander|avisar a|zu händen|attendees|present|met|and|could|add|told|to|card|mme|frau|herr|mrs?|ms|mx|dr|prof|sra?|m|archive|regards|wishes|grüße|was|is from)|todo\(|[|\[(,:>])[.:, ]*[\"'(\[|*_\- ]*$", re.I),
 }
 _CALLED = re.compile(r"\b(?:mr|mrs|ms|mx|dr|prof|herr|frau|mme|sra?|thanks|hi|hello|hey|dear|hola|hallo|bonjour|could|ask for|ring|avisar a|demander|zu händen|todo\(|owner:|present:|attendees:)\.? ?$", re.I)
 _RIGHT = {
     "email": re.compile(r"(?![A-Za-z0-9@:/_-])"),
-    "phone": re.compile(r"(?: if | or |,|\.|\"|'|\)|\n| after| whichever| ask| and| oder | ou | o |まで|$| \|| ext| x\d| \()", re.I),
-    "id_number": re.compile(r"(?: belongs| shows| was| were| \(| \||\"|,|; please| in | and | or |\.|$)", re.I),
-    "street_address": re.compile(r"(?:,|\.|\"|'|\n| on | ends | still | before | y avisar| to | and |$)", re.I),
+    "phone": re.compile(r"(?: or |,|\.|\"|'|\)|\n| and| oder | ou | o |まで|$| \|| ext| x\d| \()", re.I),
+    "id_number": re.compile(r"(?: \(| \||\"|,|;| in | and | or |\.|$)", re.I),
+    "street_address": re.compile(r"(?:,|\.|\"|'|\n| on | to | and |$)", re.I),
     "person_name": re.compile(r"(?:'s\b|\]\]| signed| <| \(| will | and | travels| habite| wohnt| hat | con |, con|, born| look at| ran | says| fragen|さん| am | added|,|!|\.|\"|\)| \||\n|$| about| moved|;| au | al | to the| has | asked| for the)", re.I),
 }
 _AGAINST = {
-    "phone": re.compile(r"\b(?:page numbers|offsets?|list|build|version|rows?|fixture|ticket|isbn|size|scan|md5|port|code|probe|shelf|commit|run|between|retry|v\d|id|ssn|social|tax|steuer|sociale|insurance|dni|card reads|mine is)\W*(?:[\w.]+\W+)?$", re.I),
-    "id_number": re.compile(r"\b(?:page numbers|offsets?|list|build|version|rows?|fixture|ticket|isbn|size|scan|md5|port|code|probe|shelf|commit|run|call|tel|phone|ring|whatsapp|number is|text me on)\W*(?:[\w.]+\W+)?$", re.I),
+    "phone": re.compile(r"\b(?:page numbers|offsets?|list|build|version|rows?|fixture|ticket|isbn|size|scan|md5|port|code|probe|shelf|commit|run|between|retry|v\d|id|ssn|social|tax|steuer|sociale|insurance|dni)\W*(?:[\w.]+\W+)?$", re.I),
+    "id_number": re.compile(r"\b(?:page numbers|offsets?|list|build|version|rows?|fixture|ticket|isbn|size|scan|md5|port|code|probe|shelf|commit|run|call|tel|phone|ring|whatsapp)\W*(?:[\w.]+\W+)?$", re.I),
 }
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]\d\d[-/.]\d\d$|\d\d[/.]\d\d[/.](?:19|20)\d\d$")
 _NETWORK = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}$")
@@ -379,6 +386,14 @@ class Finder:
             out.append((kind, v.place(a), v.place(b), cluster, "".join("-0+"[x + 1] for x in votes), self.hashed(kind, s, a, b, votes, features)))
         return out
 
+    @staticmethod
+    def local_start(s: str, at: int) -> int:
+        """Where the local part that ends before `at` begins, however long: runs of its characters joined by single marks."""
+        a = at
+        while a and (_LOCAL.match(s, a - 1) or (s[a - 1] in ".-'" and a < at and a > 1 and s[a] not in ".-'" and _LOCAL.match(s, a - 2))):
+            a -= 1
+        return a
+
     def emails(self, s, low, ats, found) -> list[tuple[int, int]]:
         taken = []
         spots = [(m.start(), m.end()) for m in _SPELT_AT.finditer(s)] if _SPELT_DOT.search(s) or "(at)" in low or "[at]" in low else []
@@ -391,10 +406,10 @@ class Finder:
                 hi += 1
             spots.append((lo, hi))
         for lo, hi in spots:
-            left, right = _LOCAL.search(s, max(0, lo - 70), lo), _DOMAIN.match(s, hi)
-            if not left or not right:
+            start, right = self.local_start(s, lo), _DOMAIN.match(s, hi)
+            if start == lo or not right:
                 continue
-            local, domain = left[0], right[0]
+            local, domain = s[start:lo], right[0]
             b = right.end()
             dots = len(re.findall(r"\.|\bdot\b", domain, re.I))
             if not dots:
@@ -405,15 +420,15 @@ class Finder:
             votes = [
                 1 if dots and top.isalpha() and len(top) > 1 else -1,
                 -1 if s[b : b + 1] == ":" and s[b + 1 : b + 2].strip() or local.lower() == "git" else 0,
-                -1 if re.fullmatch(r"[\d.]+", domain) or (left.start() and s[left.start() - 1] in "@/") else 0,
-                1 if _LEFT["email"].search(s, max(0, left.start() - 24), left.start()) else 0,
+                -1 if re.fullmatch(r"[\d.]+", domain) or (start and s[start - 1] in "@/") else 0,
+                1 if _LEFT["email"].search(s, max(0, start - 24), start) else 0,
                 1 if any(w in self.given or w in self.family for w in words) else 0,
                 1 if _RIGHT["email"].match(s, b) else -1,
                 -1 if spaced and not dots else 0,
             ]
-            found.append(("email", left.start(), b, votes, ["top=" + top.lower(), f"spaced={spaced}"]))
+            found.append(("email", start, b, votes, ["top=" + top.lower(), f"spaced={spaced}"]))
             if votes[0] > 0 and min(votes[1:3]) == 0:
-                taken.append((left.start(), b))
+                taken.append((start, b))
         return sorted(taken)
 
     def addresses(self, s: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -449,9 +464,8 @@ class Finder:
                     1 if town else 0,
                     1 if re.search(_POST, t) else 0,
                     1 if _LEFT["street_address"].search(s, max(0, x - 24), x) else 0,
-                    1 if _RIGHT["street_address"].match(s, y) else -1,
-                    -1 if re.match(r"\s+(?:[a-z]+\s+)?(?:survey|dataset|library|has|opens|files|rows)\b", s[y : y + 24], re.I) else 0,
-                    1 if re.search(_UNIT, t, re.I) else 0,
+                    1 if _RIGHT["street_address"].match(s, y) else 0,
+                        1 if re.search(_UNIT, t, re.I) else 0,
                 ]
                 found.append(("street_address", x, y, votes, ["kind=" + re.sub(r"\d+", "9", t.lower())[-8:]]))
                 past = max(past, y)
@@ -495,7 +509,7 @@ class Finder:
             1 if form in strong else 0,
             1 if _LEFT[kind].search(left) else 0,
             -1 if against else 0,
-            1 if _RIGHT[kind].match(s, b) else -1,
+            1 if _RIGHT[kind].match(s, b) else -1 if kind == "id_number" else 0,
             1 if kind == "phone" and (t.startswith(("+", "(0")) or re.match(r"0[1-9]", t)) and 10 <= count <= 14 else 1 if kind == "id_number" and re.search(r"[A-Za-z]", t) else 0,
             -1 if kind == "phone" and (t.startswith("00") and count < 12 or before == "#") or re.match(r"\d{1,3}(?:\.\d+){2,}$", t) and against else 0,
         ]
@@ -545,7 +559,10 @@ class Finder:
         left, right = _PIECES.findall(s, max(0, a - 28), a)[-2:], _PIECES.findall(s, b, b + 28)[:2]
         words = [f"{side}{i}={'9' * w.isdigit() or w.lower()}" for side, ws in (("l", left[::-1]), ("r", right)) for i, w in enumerate(ws)]
         crc = zlib.crc32(kind.encode())
-        return [zlib.crc32(w.encode(), crc) % FEATURES for w in (*[f"v{i}={x}" for i, x in enumerate(votes) if x], *features, *words)]
+        given = ["pattern=" + "".join("-0+"[x + 1] for x in votes), *[f"v{i}={x}" for i, x in enumerate(votes) if x], *features]
+        # The word on either side comes first, so cues are found there.
+        beside = [f"l0={left[-1].lower()}" if left else "l0", f"r0={right[0].lower()}" if right else "r0"]
+        return [zlib.crc32(w.encode(), crc) % FEATURES for w in (*beside, *words, *given)]
 
 
 _PIECES = re.compile(r"\w+|[^\w\s]")
@@ -564,12 +581,17 @@ def candidates(documents: DataFrame, words: dict[str, set[str]]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
+        # Clusters are numbered for all rows, so rows with one doc_id keep theirs apart.
+        past = TaskContext.get().partitionId() << 40
         for b in parts:
             rows: list[list] = [[] for _ in _FOUND]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for c in finder.candidates(text.as_py() or ""):
-                    for column, value in zip(rows, (doc, *c), strict=True):
+                most = -1
+                for kind, a, z, cluster, *rest in finder.candidates(text.as_py() or ""):
+                    most = max(most, cluster)
+                    for column, value in zip(rows, (doc, kind, a, z, past + cluster, *rest), strict=True):
                         column.append(value)
+                past += most + 1
             yield pa.RecordBatch.from_arrays([pa.array(r, t.type) for r, t in zip(rows, _FOUND, strict=True)], schema=_FOUND)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
@@ -616,12 +638,60 @@ def train(features: list[list[int]], labels: list[float], rounds: int = 60) -> n
     return weights
 
 
+def _patterns(found: DataFrame) -> dict[str, dict[str, int]]:
+    out: dict[str, dict[str, int]] = {}
+    for r in found.groupBy("pii_type", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault(r["pii_type"], {})[r["votes"]] = r["n"]
+    return out
+
+
+def cues(found: DataFrame, sure: dict[str, dict[str, float]]) -> dict[tuple[str, int], dict[int, int]]:
+    """(type, side) -> word -> 1 or -1: the words beside all candidates that go with likely or unlikely ones. At most FEATURES words
+    of a type and side come to the driver."""
+    known = found.sparkSession.createDataFrame([(t, v, p) for t, of in sure.items() for v, p in of.items()], "pii_type string, votes string, sure double")
+    rows = found.join(F.broadcast(known), ["pii_type", "votes"])
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.get("features", F.lit(i)).alias("word")) for i in (0, 1)])).alias("w")
+    counts = rows.select("pii_type", "sure", sides).groupBy("pii_type", "w.side", "w.word").agg(F.count(F.lit(1)).alias("n"), F.sum("sure").alias("real"))
+    base: dict[tuple[str, int], list[float]] = {}
+    words = counts.collect()
+    for r in words:
+        total = base.setdefault((r["pii_type"], r["side"]), [0.0, 0.0])
+        total[0] += r["n"]
+        total[1] += r["real"]
+    odds = lambda n, real: np.log((real + 1) / (n - real + 1))
+    out: dict[tuple[str, int], dict[int, int]] = {k: {} for k in base}
+    for r in words:
+        k = (r["pii_type"], r["side"])
+        shift = odds(r["n"], r["real"]) - odds(*base[k])
+        # For or against: most of what it stands beside is likely or not, and more of it than elsewhere.
+        likely = r["real"] >= r["n"] / 2
+        if r["n"] >= CUE_TIMES and (shift >= CUE_ODDS if likely else shift <= -CUE_ODDS):
+            out[k][r["word"]] = 1 if likely else -1
+    return out
+
+
+def _with_cues(found: DataFrame, learnt: dict[tuple[str, int], dict[int, int]]) -> DataFrame:
+    shared = found.sparkSession.sparkContext.broadcast(learnt)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            features = b.column("features")
+            at, flat = features.offsets.to_numpy()[:-1], features.values.to_numpy()
+            votes = b.column("votes").to_pylist()
+            kinds = b.column("pii_type").to_pylist()
+            for side in (0, 1):
+                votes = [v + "-0+"[shared.value.get((t, side), {}).get(w, 0) + 1] for v, t, w in zip(votes, kinds, flat[at + side].tolist() if len(at) else [], strict=True)]
+            yield b.set_column(b.schema.get_field_index("votes"), "votes", pa.array(votes, pa.string()))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def items(documents: DataFrame) -> DataFrame:
     """(doc_id, pii_type, start_char, end_char) of every item."""
     found = written(candidates(documents, gazetteers(documents))).df
-    patterns: dict[str, dict[str, int]] = {}
-    for r in found.groupBy("pii_type", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
-        patterns.setdefault(r["pii_type"], {})[r["votes"]] = r["n"]
+    learnt = cues(found, {t: reliabilities(p) for t, p in _patterns(found).items()})
+    found = written(_with_cues(found, learnt)).df
+    patterns = _patterns(found)
     sure = {t: reliabilities(p) for t, p in patterns.items()}
     share = {t: min(1.0, TRAIN / sum(p.values())) for t, p in patterns.items()}
     weights = {}
@@ -633,28 +703,30 @@ def items(documents: DataFrame) -> DataFrame:
             sample[r["pii_type"]][0].append(r["features"])
             sample[r["pii_type"]][1].append(sure[r["pii_type"]][r["votes"]])
         weights = {t: train(*x) for t, x in sample.items()}
-    shared = documents.sparkSession.sparkContext.broadcast((weights, sure))
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sure = shared.value
+        weights = shared.value
         number = {t: i for i, t in enumerate(sorted(weights))}
         table = np.array([weights[t] for t in sorted(weights)])
         for b in parts:
             if not b.num_rows:
                 continue
-            kinds, votes = b.column("pii_type").to_pylist(), b.column("votes").to_pylist()
-            row = np.array([number[k] for k in kinds])
-            # The classifier's log-odds and those of the vote pattern, in equal parts.
-            p = np.clip([sure[k][v] for k, v in zip(kinds, votes, strict=True)], 1e-6, 1 - 1e-6)
+            row = np.array([number[k] for k in b.column("pii_type").to_pylist()])
             size = b.column("features").value_lengths().to_numpy()
             part = table[np.repeat(row, size), b.column("features").flatten().to_numpy()]
             learnt = np.bincount(np.repeat(np.arange(len(row)), size), part, len(row)) + table[row, -1]
-            out = 1 / (1 + np.exp(-np.clip(0.5 * learnt + 0.5 * np.log(p / (1 - p)), -30, 30)))
+            out = 1 / (1 + np.exp(-np.clip(learnt, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "pii_type", "start_char", "end_char", "cluster")), pa.array(out, pa.float64())], ["doc_id", "pii_type", "start_char", "end_char", "cluster", "sure"])
 
     scored = found.mapInArrow(score, "doc_id bigint, pii_type string, start_char bigint, end_char bigint, cluster bigint, sure double").where(F.col("sure") >= LIKELY)
-    best = F.row_number().over(Window.partitionBy("doc_id", "cluster").orderBy(F.desc(F.round("sure", 2)), F.desc(F.col("end_char") - F.col("start_char")), F.desc("sure"), "pii_type", "start_char"))
-    return scored.withColumn("best", best).where(F.col("best") == 1).select("doc_id", F.rtrim(F.col("pii_type"), F.lit("?")).alias("pii_type"), "start_char", "end_char")
+    # Of a cluster the likeliest, then the longest, then the next that overlaps none kept.
+    one = F.struct((-F.round("sure", 2)).alias("a"), (F.col("start_char") - F.col("end_char")).alias("b"), (-F.col("sure")).alias("c"), "pii_type", "start_char", "end_char")
+    listed = scored.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_list(one)).alias("of"))
+    meets = lambda x, y: (x["start_char"] < y["end_char"]) & (y["start_char"] < x["end_char"])
+    kept = F.aggregate(F.slice("of", 2, F.size("of")), F.slice("of", 1, 1), lambda done, x: F.when(F.exists(done, lambda y: meets(x, y)), done).otherwise(F.concat(done, F.array(x))))
+    kept = F.when(F.size("of") == 1, F.col("of")).otherwise(kept)
+    return listed.select("doc_id", F.explode(kept).alias("x")).select("doc_id", F.rtrim(F.col("x.pii_type"), F.lit("?")).alias("pii_type"), "x.start_char", "x.end_char")
 
 
 def redacted(documents: DataFrame, found: DataFrame) -> DataFrame:
