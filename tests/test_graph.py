@@ -25,6 +25,16 @@ def test_one_task_equals_distributed_rounds(spark, edges):
     assert rows(G.personal_rank(weighted, {k: v * 10 for k, v in seeds.items()})) == rows(G.personal_rank(weighted, seeds))
 
 
+def test_strong_components_and_betweenness_by_joins(spark):
+    rnd = random.Random(4)
+    pairs = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(62)] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("self", "self")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    got = rows(G.strong_components(e, local_edges=0))
+    assert got == rows(G.strong_components(e)) and ("y", "x", 3) in got and any(size > 3 for _, _, size in got)
+    assert rows(G.edge_betweenness(e, local_nodes=5)) == rows(G.edge_betweenness(e))
+    assert rows(G.edge_betweenness(e, local_nodes=5, max_sources=7)) == rows(G.edge_betweenness(e, max_sources=7))
+
+
 def test_restart_walks(spark):
     e = lambda *p: spark.createDataFrame([(a, b, 1.0) for a, b in p], "src string, dst string, weight double")
     r = dict(G.personal_rank(e(("A", "B"), ("B", "C"), ("D", "D")), {"A": 1.0}, rounds=20).collect())

@@ -97,12 +97,23 @@ def is_test_path(path: Column) -> Column:
     return p.rlike(r"(^|/)(tests?|__tests__|spec)/") | p.rlike(r"(_test\.go|(^|/)test_[^/]*\.py|_test\.py|\.(test|spec)\.[jt]sx?|tests?\.cs|test\.php)$")
 
 
-def doc_class(path: Column, kind: Column) -> Column:
-    """hub, spec, effort, analysis, reference, generated, repo_global, module or none, by where a note lies."""
+# Folders of tools and of templates whose notes are generated; files that speak for a whole repository.
+TOOL_FOLDERS, TEMPLATE_FOLDERS = [".codex/", ".claude/", ".cursor/"], ["/templates/skills/"]
+REPO_FILES = ["readme.md", "agents.md", "claude.md"]
+
+
+def doc_class(path: Column, kind: Column, more_templates: list[str] = (), more_files: list[str] = ()) -> Column:
+    """hub, spec, effort, analysis, reference, generated, repo_global, module or none, by where a note lies. An installation names its
+    own template folders (/name/) and repository files besides."""
     p = F.lower(path)
+    generated = F.lit(False)
+    for folder in TOOL_FOLDERS:
+        generated |= p.startswith(folder)
+    for folder in [*TEMPLATE_FOLDERS, *more_templates]:
+        generated |= F.contains(p, F.lit(folder))
     base = F.regexp_replace(p, r"^.*/", "")
-    return F.when((kind != "note") | (F.trim(p) == ""), "none").otherwise(
+    return F.when((F.coalesce(F.lower(F.trim(kind)), F.lit("")) != "note") | (F.trim(p) == ""), "none").otherwise(
         F.when(p.startswith("docs/hubs/"), "hub").when(p.startswith("docs/specs/"), "spec").when(p.startswith("docs/efforts/"), "effort")
         .when(p.startswith("docs/reference/analysis/"), "analysis").when(p.startswith("docs/reference/"), "reference")
-        .when(p.rlike(r"(^|/)generated/"), "generated").when(p.isin("readme.md", "agents.md"), "repo_global").when(base == "context.md", "module").otherwise("none")
+        .when(generated, "generated").when(p.isin(*REPO_FILES, *more_files), "repo_global").when(base == "context.md", "module").otherwise("none")
     )

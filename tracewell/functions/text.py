@@ -174,8 +174,10 @@ WORD_GROUPS = {
     **dict.fromkeys(["embedded", "embedding", "embeddings", "embedder", "embedders"], ["embed", "embedded", "embedding", "embeddings"]),
     "embed": ["embedded", "embedding", "embeddings"],
     **dict.fromkeys(["note", "notes"], ["note", "notes"]),
-    **dict.fromkeys(["indexed", "indexing", "indexes"], ["index", "indexed"]),
+    **dict.fromkeys(["indexed", "indexing", "indexes"], ["index", "indexed", "indexing"]),
 }
+# Words of a question, and frequent words, that are no concept.
+NO_CONCEPT = "how what where why when who which are is the this that does do for with and or to of in on a an".split()
 
 
 def variants(token: Column) -> Column:
@@ -187,6 +189,25 @@ def variants(token: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(F.array(token, singular), F.coalesce(F.try_element_at(group, token), F.array().cast("array<string>")))))
 
 
+def term_groups(words: list[str]) -> list[list[str]]:
+    """The concepts of a query's tokens: each with its variants, sorted; groups with a word in common are one."""
+    groups: list[set[str]] = []
+    for word in words:
+        if word in NO_CONCEPT:
+            continue
+        long = len(word.encode()) > 3
+        one = [word[:-3] + "y"] if long and word.endswith("ies") else [word[:-1]] if long and word.endswith("s") else []
+        group, apart = {word, *one, *WORD_GROUPS.get(word, [])}, []
+        place = next((i for i, g in enumerate(groups) if g & group), len(groups))
+        for g in groups:
+            if g & group:
+                group |= g
+            else:
+                apart.append(g)
+        groups = [*apart[:place], group, *apart[place:]]
+    return [sorted(g) for g in groups]
+
+
 def coverage(text_tokens: Column, groups: list[list[str]]) -> Column:
     """The share of the groups of which the text has a word."""
     hits = [F.when(F.arrays_overlap(text_tokens, F.array(*map(F.lit, g))), 1).otherwise(0) for g in groups]

@@ -2,7 +2,7 @@
 
 Iterations have fixed counts and run as joins and aggregations; what a round hands on is written every few rounds, so plans stay
 short and a lost executor costs a few rounds. Graphs of at most LOCAL_EDGES distinct edges (a documented bound, 16 bytes an edge)
-are iterated in one task instead, where a round costs microseconds; both ways give the same numbers.
+are iterated in one task instead, where a round costs a millisecond; both ways give the same numbers, and larger graphs no others.
 
 Null ends are no edges; repeated edges count once unless weighted; self-loops are kept unless said otherwise; an empty graph has
 no rows.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import confidence, surprise_factor
 from tracewell.runtime import written
 
-LOCAL_EDGES = 2_000_000
+LOCAL_EDGES = 200_000
 #: Rounds between two written tables.
 ROUNDS = 5
 
@@ -226,49 +226,94 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return _per_component(edges, run, "node string, label string")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size): the smallest node of the strong component, per weak component, without recursion."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ahead: dict[str, list[str]] = {}
-        back: dict[str, list[str]] = {}
-        for a, b in zip(rows["src"], rows["dst"], strict=True):
-            ahead.setdefault(a, []).append(b)
-            ahead.setdefault(b, [])
-            back.setdefault(b, []).append(a)
-        seen, order = set(), []
-        for v in sorted(ahead):
-            if v in seen:
-                continue
-            seen.add(v)
-            stack = [(v, iter(ahead[v]))]
-            while stack:
-                u, it = stack[-1]
-                w = next((x for x in it if x not in seen), None)
-                if w is None:
-                    order.append(u)
-                    stack.pop()
-                else:
-                    seen.add(w)
-                    stack.append((w, iter(ahead[w])))
-        out: dict[str, str] = {}
-        for v in reversed(order):
-            if v in out:
-                continue
-            out[v], todo, group = v, [v], [v]
-            while todo:
-                for w in back.get(todo.pop(), []):
-                    if w not in out:
-                        out[w] = v
-                        todo.append(w)
-                        group.append(w)
-            low = min(group)
-            for w in group:
-                out[w] = low
-        return pd.DataFrame({"node": list(out), "component": list(out.values())})
-
-    found = _per_component(edges, run, "node string, component string")
-    return found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component")))
+def _strong_local(rows: pd.DataFrame) -> pd.DataFrame:
+    ahead: dict[str, list[str]] = {}
+    back: dict[str, list[str]] = {}
+    for a, b in zip(rows["src"], rows["dst"], strict=True):
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+        back.setdefault(b, []).append(a)
+    seen, order = set(), []
+    for v in sorted(ahead):
+        if v in seen:
+            continue
+        seen.add(v)
+        stack = [(v, iter(ahead[v]))]
+        while stack:
+            u, it = stack[-1]
+            w = next((x for x in it if x not in seen), None)
+            if w is None:
+                order.append(u)
+                stack.pop()
+            else:
+                seen.add(w)
+                stack.append((w, iter(ahead[w])))
+    out: dict[str, str] = {}
+    for v in reversed(order):
+        if v in out:
+            continue
+        out[v], todo, group = v, [v], [v]
+        while todo:
+            for w in back.get(todo.pop(), []):
+                if w not in out:
+                    out[w] = v
+                    todo.append(w)
+                    group.append(w)
+        low = min(group)
+        for w in group:
+            out[w] = low
+    return pd.DataFrame({"node": list(out), "component": list(out.values())})
+
+
+def _strong_joined(e: DataFrame) -> DataFrame:
+    """Forward-backward reachability: every node takes the smallest name that reaches it; the nodes of a colour that reach its name in
+    turn are its strong component and leave; the rest goes on. Nodes without a way in or out leave first, each by itself."""
+    src, dst = F.col("src").alias("node"), F.col("dst").alias("node")
+    now, done = written(e.where("src <> dst")).df, []
+    every = e.select(src).union(e.select(dst)).distinct()
+    while not now.isEmpty():
+        left = now.count()
+        while True:
+            kept = now.join(now.select(dst).distinct().withColumnRenamed("node", "src"), "src", "left_semi").join(now.select(src).distinct().withColumnRenamed("node", "dst"), "dst", "left_semi")
+            now = written(kept.select("src", "dst")).df
+            before, left = left, now.count()
+            if left == before:
+                break
+        if not left:
+            break
+        colour = written(now.select(src).distinct().withColumn("colour", F.col("node"))).df
+        while True:
+            pushed = now.join(colour.withColumnRenamed("node", "src"), "src").groupBy(dst).agg(F.min("colour").alias("pushed"))
+            after = written(colour.join(pushed, "node", "left").select("node", F.least("colour", "pushed").alias("colour"), (F.col("pushed") < F.col("colour")).alias("changed"))).df
+            colour = after.select("node", "colour")
+            if after.where("changed").isEmpty():
+                break
+        one = now.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src").join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst").where("cs = cd")
+        one = written(one.select("src", "dst", F.col("cs").alias("colour"))).df
+        front = colour.where("node = colour")
+        found = front
+        while not front.isEmpty():
+            back = one.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(src, "colour").distinct()
+            front = written(back.join(found, ["node", "colour"], "left_anti")).df
+            found = written(found.unionByName(front)).df
+        done.append(found)
+        gone = found.select("node")
+        now = written(now.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")).df
+    rings = every.select("node", F.col("node").alias("component")).limit(0)
+    for found in done:
+        rings = rings.unionByName(found.select("node", F.col("colour").alias("component")))
+    return every.join(rings, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component, size): the smallest node of the strong component."""
+    e = written(distinct_edges(edges)).df
+    if e.count() <= local_edges:
+        found = e.repartition(1).mapInPandas(lambda parts: (_strong_local(pd.concat(got)) for got in [[p for p in parts if len(p)]] if got), "node string, component string")
+    else:
+        found = _strong_joined(e)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "component").select("node", "component", "size")
 
 
 def best_path(edges: DataFrame, start: str, end: str, max_hops: int) -> DataFrame:
@@ -290,18 +335,20 @@ def best_path(edges: DataFrame, start: str, end: str, max_hops: int) -> DataFram
     return out.orderBy("cost", "hops", "path").limit(1)
 
 
-def edge_betweenness(edges: DataFrame, max_nodes: int = 5000, max_sources: int = 500) -> DataFrame:
-    """(a, b, score) of undirected edges: shares of shortest ways through an edge from at most so many sources (the first by name),
-    halved and normalised by the pairs. The operator is defined for graphs of at most max_nodes; larger ones have no rows."""
+def edge_betweenness(edges: DataFrame, local_nodes: int = 5000, max_sources: int = 500) -> DataFrame:
+    """(a, b, score) of undirected edges: shares of shortest ways through an edge from at most so many sources (the first by name, a
+    limit that is part of the measure), halved and normalised by the pairs. Graphs of up to local_nodes are searched source by source
+    with all edges in every task; larger ones layer by layer with joins."""
     e = distinct_edges(edges).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = written(e).df
     spark = e.sparkSession
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    empty = spark.createDataFrame([], "a string, b string, score double")
     # One more than the bound tells whether it is kept, and bounds what comes to the driver.
-    names = [r[0] for r in nodes.limit(max_nodes + 1).collect()]
-    if not names or len(names) > max_nodes:
-        return empty
+    names = [r[0] for r in nodes.limit(local_nodes + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "a string, b string, score double")
+    if len(names) > local_nodes:
+        return _betweenness_joined(e, nodes, max_sources)
     names.sort()
     number = {v: i for i, v in enumerate(names)}
     near: list[list[int]] = [[] for _ in names]
@@ -341,6 +388,37 @@ def edge_betweenness(edges: DataFrame, max_nodes: int = 5000, max_sources: int =
     return named.select("a", "b", (F.col("s") / 2 / max(1.0, n * (n - 1) / 2)).alias("score"))
 
 
+def _betweenness_joined(e: DataFrame, nodes: DataFrame, max_sources: int) -> DataFrame:
+    """Ways are counted layer by layer from all sources at once, then handed back from the last layer on. A layer's neighbours lie in the
+    layers beside it, so only two are looked at for what is new."""
+    both = written(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(e.select("b", "a"))).df
+    n = nodes.count()
+    first = nodes.orderBy("node").limit(max_sources).select(F.col("node").alias("s"), "node", F.lit(1.0).alias("ways"))
+    layers = [written(first).df]
+    while True:
+        now = layers[-1]
+        ahead = now.join(both, now["node"] == both["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        for past in layers[-2:]:
+            ahead = ahead.join(past.select("s", "node"), ["s", "node"], "left_anti")
+        after = written(ahead).df
+        if after.isEmpty():
+            break
+        layers.append(after)
+    parts = []
+    flow = layers[-1].withColumn("flow", F.lit(0.0))
+    for nearer in reversed(layers[:-1]):
+        far = flow.select("s", F.col("node").alias("w"), F.col("ways").alias("far_ways"), "flow")
+        steps = far.join(both, far["w"] == both["src"]).select("s", "w", "far_ways", "flow", F.col("dst").alias("node")).join(nearer, ["s", "node"])
+        steps = written(steps.select("s", "node", "w", (F.col("ways") / F.col("far_ways") * (1 + F.col("flow"))).alias("c"))).df
+        parts.append(written(steps.groupBy(F.least("node", "w").alias("a"), F.greatest("node", "w").alias("b")).agg(F.sum("c").alias("c"))).df)
+        back = steps.groupBy("s", "node").agg(F.sum("c").alias("flow"))
+        flow = nearer.join(back, ["s", "node"], "left").select("s", "node", "ways", F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    total = e.select("a", "b", F.lit(0.0).alias("c"))
+    for part in parts:
+        total = total.unionByName(part)
+    return total.groupBy("a", "b").agg((F.sum("c") / 2 / max(1.0, n * (n - 1) / 2)).alias("score")).where("score > 0")
+
+
 def surprising(edges: DataFrame, scores: DataFrame, min_score: float = 0.0) -> DataFrame:
     """Edges (src, dst, kind, confidence, score) no one wrote on purpose, by how unexpected they are; of each pair of communities the
     best, edges without communities all. scores: (node, type, community, inbound, outbound, authority). Written links, self-loops

@@ -18,7 +18,8 @@ from tracewell.runtime import written
 
 # Usual constants of BM25; words too common to search for.
 K1, B = 1.2, 0.75
-STOP = "a an and are as at be but by for from how in is it of on or that the this to was what when where which who why will with".split()
+STOP = """a an and are as at be been being by did do does for from have has how i in is it not of on or that the their these this those to
+was we were what when where who why with you""".split()
 
 
 def query_words(text: str, most: int = 12) -> list[str]:

@@ -15,7 +15,6 @@ from tracewell.plans.notes import _P, _links
 from tracewell.plans.reports import _CALLS
 from tracewell.runtime import stripped, table
 
-SEEDS = {"apps.store39": 2.0, "libs.view8": 1.0, "services.community5": 1.0}
 NOW = "2026-06-01 00:00:00"
 
 
@@ -29,6 +28,16 @@ def symbols(spark, d):
     return c.select(F.col("caller_fqn").alias("src"), F.col("callee_fqn").alias("dst"))
 
 
+def seeds(spark, d) -> dict[str, float]:
+    """The three packages with most edges, the first with double weight."""
+    ends = G.degrees(packages(spark, d)).orderBy(F.desc(F.col("inbound") + F.col("outbound")), "node").limit(3)
+    return {r["node"]: 1.0 + (i == 0) for i, r in enumerate(ends.collect())}
+
+
+def roots(spark, d, *more: str):
+    return spark.createDataFrame([(k,) for k in [*list(seeds(spark, d))[:2], *more]], "root string")
+
+
 def link_targets(spark, d):
     """(src, target, dst): every written link with the one note of that title, or null."""
     n = notes(spark, d)
@@ -61,17 +70,17 @@ def graph_page_rank_symbols(spark, d):
 
 def graph_personal_rank(spark, d):
     w = packages(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return _round(G.personal_rank(w, SEEDS), "rank")
+    return _round(G.personal_rank(w, seeds(spark, d)), "rank")
 
 
 def graph_personal_candidates(spark, d):
     """The restart walk over a bounded neighbourhood of the seeds: two steps, 250 edges a node; scores over the best non-seed, 0.05 at least, the first 25."""
     e = packages(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    roots = spark.createDataFrame([(k,) for k in SEEDS], "root string")
-    near = G.expand(both, roots, 2, 250).select("node").distinct()
+    start = seeds(spark, d)
+    near = G.expand(both, spark.createDataFrame([(k,) for k in start], "root string"), 2, 250).select("node").distinct()
     inside = both.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    r = G.personal_rank(inside, SEEDS).where(~F.col("node").isin(list(SEEDS)))
+    r = G.personal_rank(inside, start).where(~F.col("node").isin(list(start)))
     r = r.withColumn("score", F.round(F.col("rank") / r.agg(F.max("rank")).scalar(), 9))
     return r.where("score >= 0.05").orderBy(F.desc("score"), "node").limit(25).select("node", "score")
 
@@ -113,7 +122,9 @@ def _confident(spark, d):
 
 
 def graph_best_path(spark, d):
-    return G.best_path(_confident(spark, d), "apps.store39", "libs.view8", 4)
+    """From the package with most edges to the one with fewest."""
+    start, end = list(seeds(spark, d))[:1], G.degrees(packages(spark, d)).orderBy(F.col("inbound") + F.col("outbound"), "node").limit(1).collect()
+    return G.best_path(_confident(spark, d), start[0] if start else "", end[0]["node"] if end else "", 4)
 
 
 def graph_edge_betweenness(spark, d):
@@ -155,8 +166,7 @@ def graph_recency(spark, d):
 
 
 def graph_expand(spark, d):
-    roots = spark.createDataFrame([("apps.store39",), ("libs.view8",), ("nowhere",)], "root string")
-    return G.expand(packages(spark, d).where("src <> dst"), roots, 2)
+    return G.expand(packages(spark, d).where("src <> dst"), roots(spark, d, "nowhere"), 2)
 
 
 def graph_bounded_edges(spark, d):
@@ -232,7 +242,9 @@ def _rank_sql(start: str, e: str, nodes: str, teleport: str, rounds: int) -> str
     return out + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
 
 
-_seeds = ", ".join(f"('{k}', {v})" for k, v in SEEDS.items())
+#: Seeds: the packages with most edges; the other end of the best path: the one with fewest.
+_SEED = """, dd AS MATERIALIZED (SELECT node, count(*) AS n FROM (SELECT src AS node FROM pe UNION ALL SELECT dst FROM pe) GROUP BY 1),
+sd AS MATERIALIZED (SELECT node, k, CASE WHEN k = 1 THEN 2.0 ELSE 1.0 END AS v FROM (SELECT node, row_number() OVER (ORDER BY n DESC, node) AS k FROM dd) WHERE k <= 3)"""
 
 
 def _hits_sql(tail: str, start: str) -> str:
@@ -250,10 +262,10 @@ _both = "SELECT src, dst, min(1 - v) AS c FROM (SELECT src, dst, v FROM cv UNION
 
 
 def _path_sql() -> str:
-    out = _PKG + _CONF + f", bo AS MATERIALIZED ({_both}), l0 AS (SELECT 'apps.store39' AS node, 0.0 AS cost, 'apps.store39' AS path)"
+    out = _PKG + _SEED + _CONF + f", bo AS MATERIALIZED ({_both}), l0 AS (SELECT node, 0.0 AS cost, node AS path FROM sd WHERE k = 1)"
     for i in range(4):
         out += f", l{i + 1} AS MATERIALIZED (SELECT node, min(ROW(cost, path)) AS b, b[1] AS cost, b[2] AS path FROM (SELECT dst AS node, round(cost + c, 9) AS cost, path || ' > ' || dst AS path FROM l{i} JOIN bo ON bo.src = node) GROUP BY 1)"
-    return out + " SELECT cost, hops, path FROM (" + " UNION ALL ".join(f"SELECT node, cost, {i} AS hops, path FROM l{i}" for i in range(1, 5)) + ") WHERE node = 'libs.view8' ORDER BY cost, hops, path LIMIT 1"
+    return out + " SELECT cost, hops, path FROM (" + " UNION ALL ".join(f"SELECT node, cost, {i} AS hops, path FROM l{i}" for i in range(1, 5)) + ") WHERE node = (SELECT node FROM dd ORDER BY n, node LIMIT 1) ORDER BY cost, hops, path LIMIT 1"
 
 
 def _core_sql(least: int, rounds: int) -> str:
@@ -274,7 +286,7 @@ SQL = {
     "graph_page_rank_symbols": _rank_sql(_PKG, "SELECT src, dst, 1.0 AS w FROM sy", "SELECT node, 1.0 / (SELECT count(*) FROM (SELECT src AS node FROM sy UNION SELECT dst FROM sy)) AS p FROM (SELECT src AS node FROM sy UNION SELECT dst FROM sy)", "", 30),
     "graph_backlinks": _NOTE + ", " + _TAGGED + " SELECT dst AS note, count(*) AS referrers FROM nl WHERE src NOT IN (SELECT path FROM tg WHERE len(list_filter(tags, lambda t: t = 'todo' OR t LIKE 'todo/%')) > 0) GROUP BY 1",
     "graph_parent_cycles": _RINGS,
-    "graph_personal_rank": _rank_sql(_PKG, "SELECT src, dst, n::DOUBLE AS w FROM pw", f"SELECT node, coalesce(v, 0) / (SELECT sum(v) FROM (VALUES {_seeds}) s(k, v) WHERE k IN (SELECT node FROM pn)) AS p FROM pn LEFT JOIN (VALUES {_seeds}) s(k, v) ON k = node", "", 15),
+    "graph_personal_rank": _rank_sql(_PKG + _SEED, "SELECT src, dst, n::DOUBLE AS w FROM pw", "SELECT node, coalesce(v, 0) / (SELECT sum(v) FROM sd) AS p FROM pn LEFT JOIN sd USING (node)", "", 15),
     "graph_hits": _hits_sql(" SELECT node, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h30", _PKG),
     "graph_degrees": _PKG + " SELECT node, sum(i) AS inbound, sum(o) AS outbound FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM sy UNION ALL SELECT src, 0, 1 FROM sy) GROUP BY 1",
     "graph_orphans": _PKG + " SELECT DISTINCT fqn AS node, CASE WHEN fqn IN (SELECT dst FROM sy) THEN 'dead_end' ELSE 'orphan' END AS state FROM anchor WHERE fqn <> '' AND fqn NOT IN (SELECT src FROM sy)",
@@ -294,7 +306,7 @@ SELECT * FROM (SELECT community, node, count(*) AS crossing FROM (SELECT ca AS c
     "graph_recency": _NOTE + f""", tm AS (SELECT path AS node, least(updated_at, TIMESTAMP '{NOW}') AS ts FROM documents WHERE updated_at IS NOT NULL), bi AS (SELECT src, dst FROM nl UNION SELECT dst, src FROM nl),
 nr AS (SELECT src AS node, ts - INTERVAL 7 DAY AS ts FROM (SELECT src, dst, ts, row_number() OVER (PARTITION BY src ORDER BY ts DESC, dst) AS k FROM bi JOIN tm ON tm.node = dst) WHERE k <= 5 AND ts >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY)
 SELECT node, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "at" FROM (SELECT * FROM tm UNION ALL SELECT * FROM nr) GROUP BY 1""",
-    "graph_expand": _PKG + """, rt(root) AS (VALUES ('apps.store39'), ('libs.view8'), ('nowhere')), x AS (SELECT src, dst FROM pe WHERE src <> dst), s1 AS (SELECT DISTINCT root, dst AS node FROM rt JOIN x ON src = root), s2 AS (SELECT DISTINCT root, dst AS node FROM s1 JOIN x ON src = node)
+    "graph_expand": _PKG + _SEED + """, rt AS (SELECT node AS root FROM sd WHERE k <= 2 UNION ALL SELECT 'nowhere'), x AS (SELECT src, dst FROM pe WHERE src <> dst), s1 AS (SELECT DISTINCT root, dst AS node FROM rt JOIN x ON src = root), s2 AS (SELECT DISTINCT root, dst AS node FROM s1 JOIN x ON src = node)
 SELECT root, node, min(steps) AS steps FROM (SELECT root, root AS node, 0 AS steps FROM rt UNION ALL SELECT root, node, 1 FROM s1 UNION ALL SELECT root, node, 2 FROM s2) GROUP BY 1, 2""",
     "graph_bounded_edges": _PKG + """ SELECT * FROM (SELECT focus, direction, src, dst, count(*) OVER (PARTITION BY focus, direction) AS degree, row_number() OVER (PARTITION BY focus, direction ORDER BY n DESC, src, dst) AS place FROM
 (SELECT src AS focus, 'out' AS direction, src, dst, n FROM pw UNION ALL SELECT dst, 'in', src, dst, n FROM pw WHERE dst IN (SELECT src FROM pw))) WHERE place <= 3""",
@@ -304,6 +316,7 @@ SELECT root, node, min(steps) AS steps FROM (SELECT root, root AS node, 0 AS ste
     "graph_link_resolution": _NOTE + " SELECT CASE WHEN n IS NULL THEN 'broken' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, count(*) AS links, count(DISTINCT src) AS notes FROM wl LEFT JOIN ti USING (target) GROUP BY 1",
     "graph_merge_suggestions": r"WITH n AS (SELECT path, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(path, '-\d+\.md$', ''), '^.*/', '')), '[^\p{L}\p{N} ]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM documents) SELECT * FROM (SELECT name, min(path) OVER (PARTITION BY name) AS first, path FROM n) WHERE path <> first",
     "graph_stale_notes": f"SELECT path, date_diff('day', updated_at::DATE, DATE '{NOW[:10]}') AS age FROM documents WHERE date_diff('day', updated_at::DATE, DATE '{NOW[:10]}') > 180",
-    "graph_ancestors": """WITH RECURSIVE e AS (SELECT DISTINCT child_fqn AS src, parent_fqn AS dst FROM super_edges WHERE child_fqn <> '' AND trim(parent_fqn) <> '' AND kind = 'implements'),
-w AS (SELECT DISTINCT src AS root, dst AS node, 1 AS steps FROM e UNION SELECT root, dst, steps + 1 FROM w JOIN e ON src = node WHERE steps < 8) SELECT root, node, min(steps) AS steps FROM w WHERE root <> node GROUP BY 1, 2""",
+    "graph_ancestors": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT {_TRIM('child_fqn')} AS src, {_TRIM('parent_fqn')} AS dst FROM super_edges) WHERE src <> '' AND dst <> ''),
+w AS (SELECT src AS root, dst AS node, 1 AS steps FROM e UNION SELECT root, dst, steps + 1 FROM w JOIN e ON src = node WHERE steps <= (SELECT count(DISTINCT src) FROM e))
+SELECT root, node, min(steps) AS steps FROM w WHERE root <> node GROUP BY 1, 2""",
 }

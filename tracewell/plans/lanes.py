@@ -14,7 +14,7 @@ from tracewell.operators import typed as Y
 from tracewell.operators.rules import glob_join
 from tracewell.plans import graphs as P
 from tracewell.plans.frames import WITH, anchors, edges, notes
-from tracewell.plans.graphs import _NOTE, _PKG, note_links, packages
+from tracewell.plans.graphs import _NOTE, _PKG, _SEED, note_links, packages
 from tracewell.plans.notes import _ftags
 from tracewell.plans.search import _BM, COLUMNS, WORDS
 from tracewell.runtime import table
@@ -91,7 +91,7 @@ def search_enriched(spark, d):
     """Packages called from the seeds with graph evidence: authority and hub over the best, the community shared with a seed, and the
     mean confidence of the edges to the seeds."""
     e, scores = P._confident(spark, d), P._scored(spark, d)
-    seeds = list(P.SEEDS)
+    seeds = list(P.seeds(spark, d))
     touching = e.where(F.col("src").isin(seeds) & ~F.col("dst").isin(seeds)).select(F.col("dst").alias("node"), "confidence", "score")
     touching = touching.unionByName(e.where(F.col("dst").isin(seeds) & ~F.col("src").isin(seeds)).select(F.col("src").alias("node"), "confidence", "score"))
     from tracewell.functions.scalars import confidence
@@ -139,8 +139,7 @@ def graph_walk(spark, d):
     """From given packages both ways in two steps; of a pair's edges the structural (called twice or more) wins."""
     e = packages(spark, d).where("src <> dst").groupBy("src", "dst").agg((F.count(F.lit(1)) >= 2).alias("structural"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "structural")).groupBy("src", "dst").agg(F.max("structural").alias("structural"))
-    roots = spark.createDataFrame([("apps.store39",), ("libs.view8",)], "root string")
-    reached = G.expand(both, roots, 2).where("steps > 0")
+    reached = G.expand(both, P.roots(spark, d), 2).where("steps > 0")
     first = both.select(F.col("src").alias("root"), F.col("dst").alias("node"), "structural")
     return reached.join(first, ["root", "node"], "left").select("root", "node", "steps", F.coalesce("structural", F.lit(False)).alias("structural"))
 
@@ -222,7 +221,7 @@ SELECT dst, round(max(score) * 0.6, 6) AS score FROM nl JOIN sd ON sd.path = nl.
     "search_note_connections": "WITH c AS (SELECT DISTINCT chunk_id, owner_row_id, " + _ms("coalesce(breadcrumb, '')", ["search", "quality", "links", "data"]) + " AS score FROM intel_chunks_new WHERE owner_row_id IS NOT NULL), h AS (SELECT *, row_number() OVER (PARTITION BY owner_row_id ORDER BY score DESC, chunk_id) AS k FROM c WHERE score > 0) SELECT owner_row_id, round(max(score), 6) AS best, round(sum(score) FILTER (k <= 3), 6) AS three, count(*) AS hits FROM h GROUP BY 1",
     "search_title_typos": f"""WITH t AS (SELECT path, {_tok('title')} AS t FROM documents), s AS (SELECT path, (list_contains(t, 'qualty')::INT + list_contains(t, 'search')::INT + list_contains(t, 'migraton')::INT) / 3.0 AS e, len(list_filter(t, lambda w: length(w) >= 5 AND (damerau_levenshtein('qualty', w) <= 1 OR damerau_levenshtein('search', w) <= 1 OR damerau_levenshtein('migraton', w) <= 1))) AS n FROM t)
 SELECT * FROM (SELECT path, round(CASE WHEN e > 0 THEN e WHEN n > 0 THEN 0.55 ELSE 0 END, 6) AS score FROM s) WHERE score > 0""",
-    "graph_walk": _PKG + """, b AS MATERIALIZED (SELECT src, dst, max(st) AS structural FROM (SELECT src, dst, n >= 2 AS st FROM pw WHERE src <> dst UNION ALL SELECT dst, src, n >= 2 FROM pw WHERE src <> dst) GROUP BY 1, 2), rt(root) AS (VALUES ('apps.store39'), ('libs.view8')),
+    "graph_walk": _PKG + _SEED + """, b AS MATERIALIZED (SELECT src, dst, max(st) AS structural FROM (SELECT src, dst, n >= 2 AS st FROM pw WHERE src <> dst UNION ALL SELECT dst, src, n >= 2 FROM pw WHERE src <> dst) GROUP BY 1, 2), rt AS (SELECT node AS root FROM sd WHERE k <= 2),
 s1 AS (SELECT root, dst AS node FROM rt JOIN b ON src = root), s2 AS (SELECT DISTINCT root, dst AS node FROM s1 JOIN b ON src = node), u AS (SELECT root, node, 1 AS steps FROM s1 UNION ALL SELECT root, node, 2 FROM s2 WHERE node <> root AND (root, node) NOT IN (SELECT (root, node) FROM s1))
 SELECT u.root, u.node, u.steps, coalesce(b.structural, false) AS structural FROM u LEFT JOIN b ON b.src = u.root AND b.dst = u.node""",
     "graph_profiles": _NOTE + f", {_MENT}, e AS (SELECT src, 'wikilink' AS kind FROM nl UNION ALL SELECT note, 'coderef' FROM cm), p(profile, kind) AS (VALUES ('NOTES_ONLY', 'wikilink'), ('CODE_AWARE', 'wikilink'), ('CODE_AWARE', 'coderef')) SELECT profile, kind, count(*) AS edges, count(DISTINCT src) AS sources FROM e JOIN p USING (kind) GROUP BY 1, 2",

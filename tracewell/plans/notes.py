@@ -128,7 +128,7 @@ def fn_variants(spark, d):
 
 
 def fn_concept_coverage(spark, d):
-    groups = [["search", "searches"], ["quality"], ["block", "blocks"]]
+    groups = T.term_groups("how are blocks indexed in the index and the quality of notes".split())
     return notes(spark, d).select("doc_id", F.round(T.coverage(T.tokens(F.col("title")), groups), 6).alias("coverage")).where("coverage > 0")
 
 
@@ -277,7 +277,14 @@ _tag = lambda w: f"len(list_filter(tags, lambda t: t = '{w}' OR t LIKE '{w}/%'))
 _nv = lambda c: rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(trim({c}), '^[\"'']|[\"'']$', '', 'g'), '^\[\[|\]\]$', '', 'g'), '\|.*$', '')))"
 _under = lambda p: f"(path = '{p}' OR path LIKE '{p}/%')"
 _tok = lambda c: f"list_transform(list_filter(string_split(regexp_replace(regexp_replace({c}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'), ' '), lambda t: strlen(t) >= 2), lambda t: lower(t))"
-_props = "SELECT doc_id, 'type' AS key, type AS value FROM n WHERE type <> '' UNION ALL SELECT doc_id, 'status', status FROM n WHERE status <> '' UNION ALL SELECT doc_id, 'owner', owner FROM n WHERE owner <> ''"
+_bare = lambda v: rf"regexp_replace(regexp_replace(trim({v}), '^\"(.*)\"$', '\1'), '^''(.*)''$', '\1')"
+#: Every top-level front matter key with its values: a scalar, or the items of a list; of repeated keys the first holds.
+_VALUES = f"""WITH f AS (SELECT doc_id, {_front} AS f FROM documents),
+k AS (SELECT doc_id, unnest(regexp_extract_all(f, {_q(T._FRONT_KEY)}, 1)) AS key, unnest(regexp_extract_all(f, {_q(T._FRONT_KEY)}, 2)) AS v, unnest(regexp_extract_all(f, {_q(T._FRONT_KEY)}, 3)) AS block, unnest(range(len(regexp_extract_all(f, {_q(T._FRONT_KEY)}, 1)))) AS i FROM f),
+o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY i) = 1),
+r AS (SELECT doc_id, key, CASE WHEN v LIKE '[_%]' AND v NOT LIKE '[[%' THEN regexp_extract_all(v[2:-2], {_q(T._ITEM)}, 1) WHEN v = '[]' THEN [] WHEN v = '' THEN regexp_extract_all(block, '\n[ \t]*-[ \t]+([^\n\r]*)', 1) ELSE [v] END AS raw FROM o),
+p AS (SELECT doc_id, key, unnest(list_filter(list_transform(raw, lambda x: {_bare('x')}), lambda x: x <> '')) AS value FROM r)
+"""
 _kind = lambda t: rf"CASE WHEN lower(trim({t})) IN ('true', 'false') THEN 'bool' WHEN regexp_matches(trim({t}), '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(trim({t}), '^[+-]?[0-9]*\.[0-9]+$') THEN 'float' WHEN regexp_matches(trim({t}), '^\[\[[^\[\]]+\]\]$') THEN 'wikilink' WHEN regexp_matches(trim({t}), '^(?i:https?)://[^\s]+$') THEN 'url' WHEN regexp_matches(trim({t}), '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}') THEN 'datetime' WHEN regexp_matches(trim({t}), '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN 'date' ELSE 'string' END"
 _links = f"SELECT doc_id, unnest(regexp_extract_all({_clean}, {_q('(' + T.WIKILINK + ')')}, 1)) AS l FROM documents"
 
@@ -293,7 +300,7 @@ SQL = {
 SELECT DISTINCT a.doc_id AS note_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.k > a.k JOIN t c ON c.doc_id = a.doc_id AND c.k > b.k WHERE a.w LIKE 's%' AND b.w LIKE 'q%' AND c.w LIKE 'b%'""",
     "agg_tag_rollup": _P + """, t AS (SELECT DISTINCT doc_id, unnest(tags) AS tag FROM n), p AS (SELECT DISTINCT doc_id, array_to_string(string_split(tag, '/')[1:i], '/') AS tag FROM (SELECT *, unnest(range(1, len(string_split(tag, '/')) + 1)) AS i FROM t))
 SELECT p.tag, coalesce(any_value(o.own), 0) AS own, count(*) AS notes FROM p LEFT JOIN (SELECT tag, count(*) AS own FROM t GROUP BY 1) o USING (tag) GROUP BY p.tag""",
-    "agg_property_profile": _P + f", p AS ({_props}) SELECT key, count(*) AS n, count(DISTINCT value) AS \"values\", string_agg(DISTINCT {_kind('value')}, ',' ORDER BY {_kind('value')}) AS types, count(DISTINCT value) <= 20 AS enum_like FROM p GROUP BY key",
+    "agg_property_profile": _VALUES + f"SELECT key, count(DISTINCT doc_id) AS n, count(DISTINCT value) AS \"values\", string_agg(DISTINCT {_kind('value')}, ',' ORDER BY {_kind('value')}) AS types, count(DISTINCT value) <= 20 AS enum_like FROM p GROUP BY key",
     "agg_property_lookup": _P + f"SELECT path FROM n WHERE {_nv('status')} = 'open'",
     "fn_slugs": r"""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{Nd}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}_ -]', '', 'g'), ' ', '-') AS web,
   trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS key, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\.md$', '')), '[^\p{L}\p{N} ]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM documents""",
@@ -308,15 +315,15 @@ SELECT doc_id, unnest(range(len(h))) AS ord, length(unnest(h)) AS level, trim(un
     "fn_block_ids": f"SELECT DISTINCT note_id, regexp_extract('see ' || target_text, {_q(T.BLOCK_ID)}, 1) AS block FROM note_fragment_targets WHERE target_kind = 'block'",
     "fn_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_tok('name')}) AS token FROM (SELECT id, min(name) AS name FROM symbols WHERE id IS NOT NULL GROUP BY 1)) GROUP BY 1",
     "fn_variants": f"""WITH w AS (SELECT DISTINCT unnest({_tok('title')}) AS token FROM documents), g AS (SELECT token, CASE WHEN token IN ('embedded', 'embedding', 'embeddings', 'embedder', 'embedders') THEN ['embed', 'embedded', 'embedding', 'embeddings']
-  WHEN token = 'embed' THEN ['embedded', 'embedding', 'embeddings'] WHEN token IN ('note', 'notes') THEN ['note', 'notes'] WHEN token IN ('indexed', 'indexing', 'indexes') THEN ['index', 'indexed'] ELSE [] END AS more,
+  WHEN token = 'embed' THEN ['embedded', 'embedding', 'embeddings'] WHEN token IN ('note', 'notes') THEN ['note', 'notes'] WHEN token IN ('indexed', 'indexing', 'indexes') THEN ['index', 'indexed', 'indexing'] ELSE [] END AS more,
   CASE WHEN token LIKE '%ies' AND strlen(token) > 3 THEN token[:-4] || 'y' WHEN token LIKE '%s' AND strlen(token) > 3 THEN token[:-2] END AS one FROM w)
 SELECT token, array_to_string(list_concat([token], CASE WHEN one IS NOT NULL THEN [one] ELSE [] END, list_filter(more, lambda m: m <> token AND m IS DISTINCT FROM one)), ',') AS variants FROM g""",
     "fn_path_classes": WITH + r""", a AS (SELECT DISTINCT path, lower(path) AS l, lower(regexp_replace(path, '^libs/', 'docs/hubs/')) AS m FROM anchor WHERE path IS NOT NULL)
-SELECT path, regexp_matches(l, '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(l, '(_test\.go|(^|/)test_[^/]*\.py|_test\.py|\.(test|spec)\.[jt]sx?|tests?\.cs|test\.php)$') AS test, CASE WHEN trim(m) = '' THEN 'none' WHEN m LIKE 'docs/hubs/%' THEN 'hub' WHEN regexp_matches(m, '(^|/)generated/') THEN 'generated' WHEN regexp_matches(m, '(^|/)context\.md$') THEN 'module' ELSE 'none' END AS class FROM a""",
+SELECT path, regexp_matches(l, '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(l, '(_test\.go|(^|/)test_[^/]*\.py|_test\.py|\.(test|spec)\.[jt]sx?|tests?\.cs|test\.php)$') AS test, CASE WHEN trim(m) = '' THEN 'none' WHEN m LIKE 'docs/hubs/%' THEN 'hub' WHEN regexp_matches(m, '^\.(codex|claude|cursor)/|/templates/skills/') THEN 'generated' WHEN m IN ('readme.md', 'agents.md', 'claude.md') THEN 'repo_global' WHEN regexp_matches(m, '(^|/)context\.md$') THEN 'module' ELSE 'none' END AS class FROM a""",
     "fn_proximity": WITH + r""", s(seed, home, depth) AS (VALUES ('apps/anchor/deterministic_1334.ts', 'apps/anchor', 2), ('libs/wikilink_1.go', 'libs', 1), ('services', '', 0)), a AS (SELECT DISTINCT path, CASE WHEN instr(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, string_split(path, '/') AS st FROM anchor WHERE path IS NOT NULL),
 k AS (SELECT path, seed, depth, folder, home, len(list_filter(range(1, len(string_split(seed, '/')) + 1), lambda i: len(st) >= i AND st[1:i] = string_split(seed, '/')[1:i])) AS shared FROM a, s)
 SELECT path, max(CASE WHEN path = '' THEN 0 WHEN path = seed THEN 4 WHEN folder = home OR path LIKE seed || '/%' OR seed LIKE path || '/%' THEN 3 WHEN depth > 0 AND shared >= depth THEN 2 WHEN depth = 0 AND shared >= 1 THEN 1 ELSE 0 END) AS proximity FROM k GROUP BY 1""",
-    "fn_concept_coverage": f"SELECT * FROM (SELECT doc_id, round((list_has_any(t, ['search', 'searches'])::INT + list_has_any(t, ['quality'])::INT + list_has_any(t, ['block', 'blocks'])::INT) / 3.0, 6) AS coverage FROM (SELECT doc_id, {_tok('title')} AS t FROM documents)) WHERE coverage > 0",
+    "fn_concept_coverage": f"SELECT * FROM (SELECT doc_id, round((list_has_any(t, ['index', 'indexed', 'indexing'])::INT + list_has_any(t, ['quality'])::INT + list_has_any(t, ['block', 'blocks'])::INT + list_has_any(t, ['note', 'notes'])::INT) / 4.0, 6) AS coverage FROM (SELECT doc_id, {_tok('title')} AS t FROM documents)) WHERE coverage > 0",
     "fn_match_score": "SELECT * FROM (SELECT doc_id, round((contains(lower(title), 'rule')::INT + contains(lower(title), 'heading')::INT + contains(lower(title), 'id')::INT) / 3.0, 6) AS score FROM documents) WHERE score > 0",
     "fn_jaccard": f"""WITH t AS (SELECT doc_id, {_tok('title')} AS a, {_tok("regexp_replace(path, '\\.md$', '')")} AS b FROM documents), u AS (SELECT doc_id, {_first('a')} AS a, {_first('b')} AS b FROM t)
 SELECT doc_id, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE round(coalesce(len(list_intersect(a[1:20], b[1:20])) / len(list_distinct(list_concat(a[1:20], b[1:20]))), 0), 6) END AS jaccard FROM u""",
@@ -330,7 +337,7 @@ SELECT doc_id, CASE WHEN x IS NOT NULL THEN least(x, '{NOW}') END AS date FROM (
     "fn_typed_scalars": r"""WITH m AS (SELECT DISTINCT created_at FROM agent_messages), x AS (SELECT created_at, trim(created_at) AS t, regexp_extract(trim(created_at), '^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d(?::\d\d)?)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)?$', ['day', 'clock', 'frac', 'zone']) AS p FROM m)
 SELECT created_at, strftime(TRY_CAST(p.day || ' ' || CASE WHEN length(p.clock) = 5 THEN p.clock || ':00' ELSE p.clock END AS TIMESTAMP) - CASE WHEN length(p.zone) = 6 THEN to_minutes((CASE WHEN p.zone[1] = '-' THEN -1 ELSE 1 END) * (p.zone[2:3]::INT * 60 + p.zone[5:6]::INT)) ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%S') || '.' || rpad(p.frac, 9, '0') || 'Z' AS datetime,
   CASE WHEN regexp_matches(trim(created_at[1:10]), '^\d{4}-\d\d-\d\d$') THEN strftime(TRY_CAST(trim(created_at[1:10]) AS DATE), '%Y-%m-%d') END AS date, CASE WHEN regexp_matches(t, '^[+-]?[0-9]+$') THEN CAST(TRY_CAST(t AS BIGINT) AS VARCHAR) END AS int FROM x""",
-    "fn_property_types": _P + f", p AS ({_props}) SELECT DISTINCT value, {_kind('value')} AS type FROM p",
+    "fn_property_types": _VALUES + f"SELECT DISTINCT value, {_kind('value')} AS type FROM p",
     "fn_json_fields": "SELECT DISTINCT id, context_json ->> '$.path' AS path, TRY_CAST(context_json ->> '$.sel' AS BIGINT) AS sel FROM agent_messages WHERE context_json IS NOT NULL",
     "fn_list_fields": "SELECT note_id, string_agg(target_norm, ';' ORDER BY ordinal NULLS FIRST, target_norm NULLS FIRST) AS targets FROM (SELECT DISTINCT note_id, ordinal, target_norm FROM note_fragment_targets) GROUP BY 1",
     "fn_next_id": r"SELECT format, max(n) + 1 AS next FROM (SELECT regexp_extract(path, '([a-z-]+)-(\d+)\.md$', 1) AS format, TRY_CAST(regexp_extract(path, '([a-z-]+)-(\d+)\.md$', 2) AS BIGINT) AS n FROM documents) WHERE n IS NOT NULL GROUP BY 1",

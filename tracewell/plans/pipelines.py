@@ -151,7 +151,6 @@ SELECT * FROM o WHERE path NOT IN (SELECT path FROM c) AND path NOT IN (SELECT p
     "stream_affected": _NOTE + f", c AS (SELECT path FROM documents WHERE updated_at >= TIMESTAMP '{CHANGED}') SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)",
     "stream_delta": _NOTE + f", c AS (SELECT path FROM documents WHERE updated_at >= TIMESTAMP '{CHANGED}'), t AS (SELECT path FROM c UNION SELECT src FROM nl WHERE dst IN (SELECT path FROM c)) SELECT state, count(*) AS n FROM (SELECT 'old' AS state FROM documents WHERE updated_at < TIMESTAMP '{CHANGED}' AND path NOT IN (SELECT path FROM t) UNION ALL SELECT 'new' FROM documents WHERE path IN (SELECT path FROM t)) GROUP BY 1",
     "stream_unsent": "WITH c AS (SELECT min(ts) + INTERVAL 7 DAY AS cut FROM events) SELECT DISTINCT user_id, event_type FROM events, c WHERE ts >= cut EXCEPT SELECT user_id, event_type FROM events, c WHERE ts < cut",
-    "stream_fingerprint": "SELECT count(*) AS n FROM orders",
     "udf_scored": "SELECT path AS handle, round(len(list_intersect(list_distinct(string_split(lower(title), ' ')), ['search', 'quality', 'property'])) / 3.0, 6) AS second FROM documents WHERE title IS NOT NULL",
     "udf_recipe": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_totalprice >= 150000 AND o_orderstatus = 'F' GROUP BY 1",
     "udf_view": "SELECT path, title, updated_at FROM documents WHERE doc_kind = 'meeting' ORDER BY updated_at DESC NULLS LAST, path LIMIT 25",

@@ -76,8 +76,12 @@ def agg_rationale_attention(spark, d):
 
 def agg_doc_stats(spark, d):
     e, _, _, a = _all(spark, d)
-    fqns = ["apps.store39.GraphJob507", "services.community5.CompilerPlan569", "libs.catalogue57.EdgeWeight1812"]
-    return R.doc_stats(a, e, "ts", fqns, MENTION, LINK).unionByName(R.doc_stats(a, e, "php", fqns, MENTION, LINK))
+    # The names asked for: the first of each language.
+    asked = {r["lang"]: r["fqn"] for r in a.where("fqn <> '' and lang in ('ts', 'php', 'go')").groupBy("lang").agg(F.min("fqn").alias("fqn")).collect()}
+    out = R.doc_stats(a, e, "", [], MENTION, LINK)
+    for lang, fqn in sorted(asked.items()):
+        out = out.unionByName(R.doc_stats(a, e, lang, [fqn], MENTION, LINK))
+    return out
 
 
 def agg_coupling(spark, d):
@@ -252,11 +256,11 @@ SELECT * EXCLUDE (k) FROM (SELECT *, rank() OVER (PARTITION BY lang, file ORDER
 rem AS (SELECT anchor_id AS rationale_id, path, CASE WHEN anchor_id % 2 = 0 THEN name ELSE fqn END AS symbol_fqn, ['fixme', 'todo', 'hack', 'important', 'note'][anchor_id % 5 + 1] AS kind, start_line, 'see ' || fqn AS content FROM anchor),
 ci AS (SELECT callee_id AS anchor_id, count(*) AS calls, count(DISTINCT caller_path) AS callers FROM call GROUP BY 1),
 st AS (SELECT a.fqn, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links FROM anchor a LEFT JOIN ci USING (anchor_id) LEFT JOIN men USING (anchor_id) LEFT JOIN lin USING (anchor_id) WHERE a.fqn <> ''),
-sfx AS (SELECT array_to_string(list_slice(string_split(fqn, '.'), i, NULL), '.') AS symbol_fqn, max(calls) AS calls, max(callers) AS callers, max(mentions) AS mentions, max(links) AS links
+sfx AS (SELECT array_to_string(list_slice(string_split(fqn, '.'), i, len(string_split(fqn, '.'))), '.') AS symbol_fqn, max(calls) AS calls, max(callers) AS callers, max(mentions) AS mentions, max(links) AS links
   FROM (SELECT *, unnest(range(1, len(string_split(fqn, '.')) + 1)) AS i FROM st) GROUP BY 1)
 SELECT r.path, coalesce(r.symbol_fqn, '') AS symbol_fqn, r.kind, r.start_line, r.content, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links
 FROM rem r LEFT JOIN sfx USING (symbol_fqn) ORDER BY coalesce(nullif(list_position(['fixme', 'todo', 'hack', 'important'], r.kind), 0), 5), callers DESC, calls DESC, r.path NULLS FIRST, r.start_line, r.content LIMIT 25""",
-    "agg_doc_stats": _CALLS + "SELECT fqn, coalesce(kind, '') AS kind, coalesce(path, '') AS path, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links FROM anchor LEFT JOIN men USING (anchor_id) LEFT JOIN lin USING (anchor_id) WHERE lang IN ('ts', 'php') AND fqn IN ('apps.store39.GraphJob507', 'services.community5.CompilerPlan569', 'libs.catalogue57.EdgeWeight1812')",
+    "agg_doc_stats": _CALLS + "SELECT fqn, coalesce(kind, '') AS kind, coalesce(path, '') AS path, coalesce(mentions, 0) AS mentions, coalesce(links, 0) AS links FROM anchor LEFT JOIN men USING (anchor_id) LEFT JOIN lin USING (anchor_id) WHERE (lang, fqn) IN (SELECT lang, min(fqn) FROM anchor WHERE fqn <> '' AND lang IN ('ts', 'php', 'go') GROUP BY 1)",
     "agg_coupling": _CALLS + """,
 pr AS (SELECT caller_pkg, callee_pkg, count(*) AS calls FROM call WHERE caller_pkg <> callee_pkg GROUP BY 1, 2),
 tp AS (SELECT caller_pkg, callee_pkg, string_agg(callee_fqn, ',' ORDER BY k) AS top_symbols FROM (SELECT caller_pkg, callee_pkg, callee_fqn, row_number() OVER (PARTITION BY caller_pkg, callee_pkg ORDER BY count(*) DESC, callee_fqn NULLS FIRST) AS k FROM call WHERE caller_pkg <> callee_pkg GROUP BY 1, 2, 3) WHERE k <= 3 GROUP BY 1, 2)

@@ -12,7 +12,7 @@ from tracewell.operators import ranking as K
 from tracewell.operators import reports as R
 from tracewell.operators import search as Q
 from tracewell.plans.frames import WITH, anchors, edges, notes, refs, ref_files, targets
-from tracewell.plans.graphs import _NOTE, _PKG, note_links, packages
+from tracewell.plans.graphs import _NOTE, _PKG, _SEED, note_links, packages, roots
 from tracewell.plans.notes import _P
 from tracewell.plans.reports import _CALLS
 from tracewell.runtime import table, written
@@ -162,7 +162,7 @@ def search_reranked(spark, d):
 
 def search_call_edges(spark, d):
     """Callers and callees of given symbols, interleaved by seed, at most so many per caller and per name."""
-    c = R.call_rows(edges(spark, d), anchors(spark, d)).where("callee_pkg in ('apps.store39', 'libs.view8')").select("caller_fqn", "callee_fqn", "callee_pkg", "caller_path").distinct()
+    c = R.call_rows(edges(spark, d), anchors(spark, d)).join(F.broadcast(roots(spark, d)), F.col("callee_pkg") == F.col("root"), "left_semi").select("caller_fqn", "callee_fqn", "callee_pkg", "caller_path").distinct()
     two = K.capped_twice(c, "callee_fqn", "caller_path", [F.asc("callee_fqn"), F.asc("caller_fqn"), F.asc("caller_path")], 5, 3)
     return K.interleaved(two, "callee_pkg", "callee_pkg", [F.asc("callee_fqn"), F.asc("caller_fqn"), F.asc("caller_path")], 60).select("caller_fqn", "callee_fqn", "turn")
 
@@ -345,7 +345,7 @@ SQL = {
     "search_ranked": _EV + f" SELECT handle, handle AS owner, 0 AS tier, round(sum(score * {_weight('search', seeds=False)}), 6) AS score FROM ch GROUP BY 1 ORDER BY round(sum(score * {_weight('search', seeds=False)}), 9) DESC, handle LIMIT 25",
     "search_intents": _EV + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY score DESC, handle) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS intent, handle, round(sum(score * {_weight(i)}), 6) AS score FROM ch GROUP BY 2" for i in ("search", "overview", "go_to_def", "docs_for_code")) + ")) WHERE rank <= 5",
     "search_many_queries": "WITH " + ", ".join(_bm25_sql(w, f"q{i}") for i, w in enumerate(_MANY)) + " SELECT doc_id, round(max(score), 6) AS score, count(DISTINCT query) AS queries FROM (" + " UNION ALL ".join(f"SELECT *, {i} AS query FROM q{i}" for i in range(3)) + ") GROUP BY 1",
-    "search_call_edges": _CALLS + """, c AS (SELECT DISTINCT caller_fqn, callee_fqn, callee_pkg, caller_path FROM call WHERE callee_pkg IN ('apps.store39', 'libs.view8')), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY callee_fqn ORDER BY callee_fqn, caller_fqn, caller_path NULLS FIRST) <= 5),
+    "search_call_edges": _PKG + _SEED + """, c AS (SELECT DISTINCT caller_fqn, callee_fqn, callee_pkg, caller_path FROM call WHERE callee_pkg IN (SELECT node FROM sd WHERE k <= 2)), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY callee_fqn ORDER BY callee_fqn, caller_fqn, caller_path NULLS FIRST) <= 5),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY caller_path ORDER BY callee_fqn, caller_fqn, caller_path NULLS FIRST) <= 3) SELECT caller_fqn, callee_fqn, turn FROM (SELECT *, row_number() OVER (PARTITION BY callee_pkg ORDER BY callee_fqn, caller_fqn, caller_path NULLS FIRST) AS turn FROM b) ORDER BY turn, callee_pkg, callee_fqn, caller_fqn, caller_path LIMIT 60""",
     "search_anchor_graph": _CALLS + """, s AS (SELECT child_fqn AS a, parent_fqn AS b FROM super_edges WHERE child_fqn IS NOT NULL AND parent_fqn IS NOT NULL),
 u AS (SELECT caller_fqn AS seed, callee_fqn AS hit, 0.8 AS score FROM call UNION ALL SELECT a, b, 0.6 FROM s UNION ALL SELECT b, a, 0.6 FROM s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, hit) AS rank FROM (SELECT seed, hit, max(score) AS score FROM u WHERE seed <> hit GROUP BY 1, 2)) WHERE rank <= 50""",
