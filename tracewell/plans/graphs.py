@@ -157,7 +157,7 @@ def graph_mutual(spark, d):
 
 
 def graph_min_degree(spark, d):
-    return G.min_degree(symbols(spark, d), 4)
+    return G.min_degree(symbols(spark, d), 3)
 
 
 def graph_recency(spark, d):
@@ -302,7 +302,7 @@ SELECT src, dst, kind, surprise FROM su QUALIFY row_number() OVER (PARTITION BY
 SELECT * FROM (SELECT community, node, count(*) AS crossing FROM (SELECT ca AS community, src AS node FROM cr UNION ALL SELECT cb, dst FROM cr) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY community ORDER BY crossing DESC, node) <= 5""",
     "graph_communities": _hits_sql(_SCORED + " SELECT community, count(*) AS members, arg_min(node, ROW(-authority, node)) AS anchor, round(CASE WHEN count(*) > 1 THEN sum(inbound + outbound) / count(*) / (count(*) - 1) ELSE 0 END, 9) AS density FROM sc GROUP BY 1", _PKG),
     "graph_mutual": _PKG + " SELECT src, dst FROM pe a WHERE EXISTS (SELECT 1 FROM pe b WHERE b.src = a.dst AND b.dst = a.src)",
-    "graph_min_degree": _core_sql(4, 14),
+    "graph_min_degree": _core_sql(3, 24),
     "graph_recency": _NOTE + f""", tm AS (SELECT path AS node, least(updated_at, TIMESTAMP '{NOW}') AS ts FROM documents WHERE updated_at IS NOT NULL), bi AS (SELECT src, dst FROM nl UNION SELECT dst, src FROM nl),
 nr AS (SELECT src AS node, ts - INTERVAL 7 DAY AS ts FROM (SELECT src, dst, ts, row_number() OVER (PARTITION BY src ORDER BY ts DESC, dst) AS k FROM bi JOIN tm ON tm.node = dst) WHERE k <= 5 AND ts >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY)
 SELECT node, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "at" FROM (SELECT * FROM tm UNION ALL SELECT * FROM nr) GROUP BY 1""",

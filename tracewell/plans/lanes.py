@@ -76,7 +76,7 @@ def search_symbol_probe(spark, d):
     words = ["hash", "edge", "weight", "plan"]
     a = anchors(spark, d).where("fqn <> ''").withColumn("t", T.tokens(F.col("name")))
     hits = F.size(F.array_intersect("t", F.array(*map(F.lit, words))))
-    return a.select("fqn", "lang", hits.alias("hits")).where("hits >= 2").distinct()
+    return a.select("fqn", "lang", hits.alias("hits")).where("hits >= 1").distinct()
 
 
 def search_auto_expand(spark, d):
@@ -214,7 +214,7 @@ SELECT doc_kind, fqn, row_number() OVER (PARTITION BY doc_kind ORDER BY fqn, pat
     "search_implementers": "SELECT parent_fqn AS owner, child_fqn AS handle, 1.0 AS score FROM (SELECT DISTINCT parent_fqn, child_fqn FROM super_edges WHERE kind = 'implements' AND child_fqn IS NOT NULL AND parent_fqn IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY parent_fqn ORDER BY child_fqn) <= 10",
     "search_rationale": r"WITH l AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT path, line, lower(regexp_extract(line, '(?://|#)\s*(TODO|FIXME|HACK|NOTE|keep)\b', 1)) AS kind FROM l WHERE regexp_matches(line, '(?://|#)\s*(TODO|FIXME|HACK|NOTE|keep)\b')), s AS (SELECT path, kind, round(" + _ms("line", ["drop", "missing", "alias"]) + " * CASE WHEN kind IN ('fixme', 'todo') THEN 1.0 WHEN kind = 'hack' THEN 0.9 ELSE 0.7 END, 6) AS score FROM k) SELECT path, kind, max(score) AS score, count(*) AS n FROM s WHERE score > 0 GROUP BY 1, 2",
     "search_local_docs": "WITH n AS (SELECT path, doc_kind, split_part(path, '/', 1) AS folder FROM documents), s AS (SELECT * FROM n ORDER BY path LIMIT 5) SELECT * FROM (SELECT path, round(CASE WHEN folder IN (SELECT folder FROM s) THEN 0.6 ELSE 0 END + CASE WHEN doc_kind IN (SELECT doc_kind FROM s) THEN 0.2 ELSE 0 END, 6) AS score FROM n WHERE path NOT IN (SELECT path FROM s)) WHERE score > 0",
-    "search_symbol_probe": WITH + f" SELECT DISTINCT fqn, lang, len(list_intersect({_tok('name')}, ['hash', 'edge', 'weight', 'plan'])) AS hits FROM anchor WHERE fqn <> '' AND len(list_intersect({_tok('name')}, ['hash', 'edge', 'weight', 'plan'])) >= 2",
+    "search_symbol_probe": WITH + f" SELECT DISTINCT fqn, lang, len(list_intersect({_tok('name')}, ['hash', 'edge', 'weight', 'plan'])) AS hits FROM anchor WHERE fqn <> '' AND len(list_intersect({_tok('name')}, ['hash', 'edge', 'weight', 'plan'])) > 0",
     "search_auto_expand": _NOTE + ", " + _BM.removeprefix("WITH ") + """, s AS (SELECT path, doc_kind, doc_id, round(score, 6) AS score FROM bm JOIN documents USING (doc_id)), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_kind ORDER BY score DESC, doc_id) <= 4), sd AS (SELECT * FROM t ORDER BY score DESC, doc_id LIMIT 8)
 SELECT dst, round(max(score) * 0.6, 6) AS score FROM nl JOIN sd ON sd.path = nl.src WHERE dst NOT IN (SELECT path FROM sd) GROUP BY 1""",
     "search_overview": WITH + ", u AS (SELECT DISTINCT * FROM (SELECT fqn AS handle, 'code' AS kind, round(" + _ms("name", ["hash", "plan", "note"]) + ", 6) AS score FROM anchor WHERE fqn <> '' UNION ALL SELECT path, 'note', round(" + _ms("title", ["hash", "quality", "note", "block"]) + ", 6) FROM documents) WHERE score > 0 ORDER BY score DESC, handle LIMIT 40), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, handle) AS place, row_number() OVER (PARTITION BY kind ORDER BY score DESC, handle) AS nth FROM u) SELECT handle, kind, row_number() OVER (ORDER BY CASE WHEN kind = 'code' AND nth <= 3 THEN least(place, 5 + nth) ELSE place END, CASE WHEN kind = 'code' THEN 0 ELSE 1 END, place) AS place FROM p",

@@ -18,11 +18,11 @@ def nodes(spark, d):
 
 
 def values(spark, d):
-    """brand is absent where the key divides by 7, an authored null where by 11; kind is a list of the type's words."""
+    """brand is absent where the key divides by 7, an authored null where by 11; kind is a list of the words of type and name."""
     p = table(spark, d, "part").withColumn("type_name", F.when(F.col("p_size") > 25, "Big").otherwise("Small"))
     row = lambda name, kind, norm, num, ordinal, presence="value", target=None: F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("value_kind"), norm.alias("value_norm"), num.cast("double").alias("value_num"), F.lit(target).cast("long").alias("target_node_id") if not isinstance(target, F.Column) else target.cast("long").alias("target_node_id"), F.lit(ordinal).alias("ordinal"), (F.lit(presence) if isinstance(presence, str) else presence).alias("presence"))
     null = F.lit(None)
-    words = F.split(F.lower("p_type"), " ")
+    words = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")
     rows = F.concat(
         F.when(F.col("p_partkey") % 7 == 0, F.array().cast("array<struct<field_name:string,value_kind:string,value_norm:string,value_num:double,target_node_id:bigint,ordinal:int,presence:string>>")).otherwise(
             F.array(row("brand", "string", F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.lower("p_brand")), null, 0, F.when(F.col("p_partkey") % 11 == 0, "null").otherwise("value")))
@@ -37,13 +37,13 @@ PLANS = {
     "typed_eq": Y.Plan(("Big",), (Y.Filter("brand", "eq", ("brand#12",)),), first=1_000_000),
     "typed_in": Y.Plan(("Big", "Small"), (Y.Filter("size", "in", (3, 14, 45), "int"),), first=1_000_000),
     "typed_range": Y.Plan(("Big", "Small"), (Y.Filter("price", "gte", (950.0,), "real"), Y.Filter("price", "lt", (1000.0,), "real")), first=1_000_000),
-    "typed_neq_list": Y.Plan(("Small",), (Y.Filter("kind", "neq", ("steel",)),), first=1_000_000),
-    "typed_contains": Y.Plan(("Small",), (Y.Filter("kind", "contains", ("anod",)),), first=1_000_000),
+    "typed_neq_list": Y.Plan(("Small",), (Y.Filter("kind", "neq", ("widget",)),), first=1_000_000),
+    "typed_contains": Y.Plan(("Small",), (Y.Filter("kind", "contains", ("idg",)),), first=1_000_000),
     "typed_exists": Y.Plan(("Big",), (Y.Filter("brand", "exists"),), first=1_000_000),
     "typed_missing": Y.Plan(("Big",), (Y.Filter("brand", "missing"),), first=1_000_000),
     "typed_link": Y.Plan(("Big", "Small"), (Y.Filter("near", "eq", (7,), "link"),), first=1_000_000),
     "typed_path": Y.Plan(("Big",), path="parts/brand#12.md", first=1_000_000),
-    "typed_page": Y.Plan(("Big", "Small"), (Y.Filter("kind", "eq", ("steel",)),), (Y.Sort("brand"), Y.Sort("price", True, "real")), 15, 30),
+    "typed_page": Y.Plan(("Big", "Small"), (Y.Filter("kind", "eq", ("ring",)),), (Y.Sort("brand"), Y.Sort("price", True, "real")), 15, 30),
     "typed_page_list_sort": Y.Plan(("Big",), (), (Y.Sort("kind", True), Y.Sort("size", False, "int")), 25, 5),
 }
 
@@ -124,7 +124,7 @@ def check_issue_counts(spark, d):
 QUERIES = {k: _typed(k) for k in PLANS} | {k: f for k, f in list(globals().items()) if k.split("_")[0] in ("typed", "check") and callable(f)}
 
 _N = """WITH nd AS (SELECT p_partkey AS node_id, CASE WHEN p_size > 25 THEN 'Big' ELSE 'Small' END AS type_name, 'parts/' || lower(p_brand) || '.md' AS note_path, p_partkey * 10 AS start_byte, p_name AS title,
-  CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE lower(p_brand) END AS brand, string_split(lower(p_type), ' ') AS kind, p_size AS size, p_retailprice AS price, p_partkey % 50 + 1 AS near, p_partkey FROM part) """
+  CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE lower(p_brand) END AS brand, string_split(lower(concat_ws(' ', p_type, p_name)), ' ') AS kind, p_size AS size, p_retailprice AS price, p_partkey % 50 + 1 AS near, p_partkey FROM part) """
 _S = lambda where: _N + f"SELECT node_id, type_name, note_path, title FROM nd WHERE {where}"
 _front = lambda k: r"regexp_extract(regexp_extract(text, '" + T.FRONTMATTER + r"', 1), '(?m)^" + k + r":[ \t]*([^\n\r]*?)[ \t]*\r?$', 1)"
 _F = f"WITH n AS (SELECT path, {_front('type')} AS type, {_front('status')} AS status FROM documents) "
@@ -134,13 +134,13 @@ SQL = {
     "typed_eq": _S("type_name = 'Big' AND brand = 'brand#12'"),
     "typed_in": _S("size IN (3, 14, 45)"),
     "typed_range": _S("price >= 950 AND price < 1000"),
-    "typed_neq_list": _S("type_name = 'Small' AND NOT list_contains(kind, 'steel')"),
-    "typed_contains": _S("type_name = 'Small' AND len(list_filter(kind, lambda k: contains(k, 'anod'))) > 0"),
+    "typed_neq_list": _S("type_name = 'Small' AND NOT list_contains(kind, 'widget')"),
+    "typed_contains": _S("type_name = 'Small' AND len(list_filter(kind, lambda k: contains(k, 'idg'))) > 0"),
     "typed_exists": _S("type_name = 'Big' AND brand IS NOT NULL"),
     "typed_missing": _S("type_name = 'Big' AND brand IS NULL"),
     "typed_link": _S("near = 7"),
     "typed_path": _S("type_name = 'Big' AND (note_path = 'parts/brand#12.md' OR note_path LIKE 'parts/brand#12.md/%')"),
-    "typed_page": _S("list_contains(kind, 'steel') ORDER BY brand NULLS LAST, price DESC NULLS LAST, note_path, start_byte, node_id LIMIT 15 OFFSET 30"),
+    "typed_page": _S("list_contains(kind, 'ring') ORDER BY brand NULLS LAST, price DESC NULLS LAST, note_path, start_byte, node_id LIMIT 15 OFFSET 30"),
     "typed_page_list_sort": _S("type_name = 'Big' ORDER BY list_max(kind) DESC NULLS LAST, size NULLS LAST, note_path, start_byte, node_id LIMIT 25 OFFSET 5"),
     "typed_field_counts": _N + "SELECT k AS value_norm, count(DISTINCT node_id) AS nodes FROM (SELECT node_id, unnest(kind) AS k FROM nd) GROUP BY 1",
     "typed_summaries": _N + "SELECT type_name, count(*) AS nodes, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 11 = 0) AS issues, array_to_string(list(title ORDER BY note_path, start_byte)[1:3], '; ') AS preview FROM nd GROUP BY 1",
