@@ -87,3 +87,19 @@ def test_shared_folder_is_the_sessions(spark, monkeypatch, tmp_path):
     import os
 
     assert not os.path.exists(w.path)
+
+
+def test_a_named_progress_goes_on_from_the_last_tick(spark, tmp_path):
+    from tracewell.streaming import incremental as I
+
+    rows = spark.range(10).toDF("n")
+    rows.write.parquet(f"{tmp_path}/in")
+    seen = []
+    run = lambda: I.drained(I.file_stream(spark, f"{tmp_path}/in", rows.schema), lambda batch, tick: seen.append(batch.count()), progress=f"{tmp_path}/progress")
+    run()
+    first = sum(seen)
+    run()
+    assert (first, sum(seen)) == (10, 10)
+    rows.limit(3).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert sum(seen) == 13

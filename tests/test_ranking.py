@@ -81,3 +81,22 @@ def test_typed_presence(spark):
     order = [r.node_id for r in Y.page(n, v, Y.Plan(("T",), (), (Y.Sort("f", True),), 3, 1)).collect()]
     assert order == [1, 3, 2]
     assert "Sort" in Y.explained(n, v, Y.Plan(("T",))) or "TakeOrdered" in Y.explained(n, v, Y.Plan(("T",)))
+
+
+def test_ranks_in_slabs(spark):
+    """Ties across slab borders, a null key, one value that most rows hold."""
+    import math
+
+    values = [5.0] * 300 + [float(i % 37) for i in range(150)] + [float(i) for i in range(60)]
+    rows = [("a", v, f"r{i:04d}") for i, v in enumerate(values)] + [(None, 1.0, "x"), (None, 2.0, "y"), ("b", None, "z")]
+    df = spark.createDataFrame(rows, "k string, v double, name string")
+    got = {r.k: r for r in K.nearest_rank(df, ["k"], "v", [0.1, 0.5, 0.9]).collect()}
+    order = sorted(values)
+    assert [got["a"][f"p{q}"] for q in (10, 50, 90)] == [order[math.ceil(q / 100 * len(order)) - 1] for q in (10, 50, 90)]
+    assert (got["a"].n, got["a"].max, round(got["a"].mean, 9)) == (len(values), 59.0, round(sum(values) / len(values), 9))
+    assert (got[None].p50, got[None].n) == (1.0, 2) and "b" not in got
+    buckets = sorted((r.bucket, r.n, r.low, r.high, r.example) for r in K.equal_buckets(df, ["k"], "v", "name").where("k = 'a'").collect())
+    ranked = sorted((-v, f"r{i:04d}") for i, v in enumerate(values))
+    size = math.ceil(len(ranked) / 10)
+    want = [ranked[i : i + size] for i in range(0, len(ranked), size)]
+    assert buckets == [(i, len(w), -w[-1][0], -w[0][0], w[0][1]) for i, w in enumerate(want)]

@@ -103,25 +103,64 @@ def consensus_labels(labels: DataFrame, least: int = 2) -> DataFrame:
     return top_per_group(n, ["dst"], [F.desc("notes"), F.asc("label")], 1).drop("rank")
 
 
+#: Slabs a group's values are cut into, so that none is sorted in one task.
+SLABS = 64
+
+
+def _alike(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys of which null equals null; the keys of b are dropped."""
+    b = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return a.join(b, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """The element at ceil(q n) of the sorted values, not an interpolated percentile; with mean and maximum. Only the places wanted
-    leave the sorted window."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).withColumn("_n", n)
-    at = lambda q: F.max(F.when(F.col("_k") == F.greatest(F.ceil(F.round(q * F.col("_n"), 6)), F.lit(1)), F.col(value))).alias(f"p{round(q * 100)}")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(q) for q in shares], F.max(value).alias("max"))
+    """The element at ceil(q n) of the sorted values, not an interpolated percentile; with mean and maximum. Equal values are counted
+    first; the values of a group are cut into slabs at approximate quantiles, each of which is sorted by itself."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    borders = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / SLABS for i in range(1, SLABS)], 1000).alias("_b"))
+    placed = _alike(counted, borders, keys).withColumn("_s", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    sizes = placed.groupBy(*keys, "_s").agg(F.sum("_c").alias("_m"))
+    whole = Window.partitionBy(*keys)
+    sizes = sizes.withColumn("_past", F.sum("_m").over(whole.orderBy("_s")) - F.col("_m")).withColumn("_n", F.sum("_m").over(whole)).drop("_m")
+    rows = _alike(placed, sizes, [*keys, "_s"]).withColumn("_hi", F.col("_past") + F.sum("_c").over(Window.partitionBy(*keys, "_s").orderBy(value)))
+
+    def at(q: float):
+        place = F.greatest(F.ceil(F.round(q * F.col("_n"), 6)), F.lit(1))
+        return F.max(F.when((F.col("_hi") >= place) & (F.col("_hi") - F.col("_c") < place), F.col(value))).alias(f"p{round(q * 100)}")
+
+    return rows.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), *[at(q) for q in shares], F.max(value).alias("max"))
 
 
 def equal_buckets(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Buckets of ceil(n / b) values from high to low, b = ceil(sqrt n) between 5 and 10 and at most n: (keys, bucket, low, high, n, example)."""
-    rows = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), name))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    """Buckets of ceil(n / b) values from high to low, b = ceil(sqrt n) between 5 and 10 and at most n: (keys, bucket, low, high, n,
+    example). A group is cut into slabs of its values, each sorted by itself; only rows of one value share a slab whatever their number."""
+    rows = df.where(F.col(value).isNotNull())
+    borders = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / SLABS for i in range(1, SLABS)], 1000).alias("_b"))
+    rows = _alike(rows, borders, keys).withColumn("_s", -F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    sizes = rows.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*keys)
+    sizes = sizes.withColumn("_past", F.sum("_m").over(whole.orderBy("_s")) - F.col("_m")).withColumn("_n", F.sum("_m").over(whole)).drop("_m")
+    rows = _alike(rows, sizes, [*keys, "_s"]).withColumn("_k", F.col("_past") + F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(F.desc(value), name)))
     b = F.least(F.greatest(F.ceil(F.sqrt("_n")), F.lit(5)), F.lit(10), F.col("_n"))
     size = F.ceil(F.col("_n") / b)
     rows = rows.withColumn("bucket", F.floor((F.col("_k") - 1) / size))
     return rows.groupBy(*keys, "bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"), F.min_by(name, "_k").alias("example"))
 
 
+def coalesced(evidence: DataFrame) -> DataFrame:
+    """Evidence of the whole notes of one owner under one handle: that with the strongest semantic channel, then the smallest. Equal
+    facts count once, with their best score; of query_specificity the strongest holds. evidence: as elsewhere, with whole_note."""
+    notes, rest = evidence.where("whole_note"), evidence.where("not whole_note")
+    semantic = channel_scores(notes.where(F.col("channel") == "semantic")).select("handle", "owner", F.col("score").alias("semantic"))
+    handles = notes.select("handle", "owner").distinct().join(semantic, ["handle", "owner"], "left")
+    base = handles.groupBy("owner").agg(F.min_by("handle", F.struct(-F.coalesce("semantic", F.lit(0.0)), "handle")).alias("base"))
+    fact = F.when(F.col("type") == "query_specificity", "").otherwise(F.col("fact")).alias("fact")
+    merged = notes.join(base, "owner").groupBy(F.col("base").alias("handle"), "owner", "type", "channel", fact).agg(F.max("score").alias("score"))
+    cols = ["handle", "owner", "type", "channel", "score", "fact"]
+    return merged.select(*cols).unionByName(rest.select(*cols))
+
+
 def ndcg(results: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     """(query, ndcg, recall, precision) at k of results (query, doc, rank) against grades (query, doc, grade): gain 2^grade - 1."""
     gain = lambda place: (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col(place) + 1)

@@ -112,6 +112,20 @@ def page(nodes: DataFrame, values: DataFrame, plan: Plan) -> DataFrame:
     return (out.offset(plan.offset) if plan.offset else out).limit(plan.first).drop(*[f"_s{i}" for i in range(len(plan.sorts))])
 
 
+def selected(rows: DataFrame, values: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """The rows with the fields asked for, in the order asked: alias -> (field, kind). A text field is its values in order, joined by
+    commas; a number the smallest; a null or absent field is null. One pass over the values for all fields."""
+    v = values.where(F.col("field_name").isin([f for f, _ in fields.values()]) & (F.col("presence") != "null"))
+    of = []
+    for alias, (field, kind) in fields.items():
+        mine = F.col("field_name") == field
+        if kind in NUMERIC:
+            of.append(F.min(F.when(mine, F.col("value_num"))).alias(alias))
+        else:
+            of.append(F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(mine, F.col("value_norm")))), ","), F.lit("")).alias(alias))
+    return rows.join(v.groupBy("node_id").agg(*of), "node_id", "left")
+
+
 def explained(nodes: DataFrame, values: DataFrame, plan: Plan) -> str:
     """How a plan runs: Spark's own formatted plan."""
     return page(nodes, values, plan)._jdf.queryExecution().explainString(nodes.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -58,6 +58,12 @@ def _typed(name):
     return run
 
 
+def typed_selection(spark, d):
+    """Fields under other names, in the order asked for."""
+    rows = nodes(spark, d).where("type_name = 'Big'").select("node_id", "title")
+    return Y.selected(rows, values(spark, d), {"cost": ("price", "real"), "words": ("kind", "string"), "maker": ("brand", "string"), "extent": ("size", "int")})
+
+
 def typed_field_counts(spark, d):
     return Y.field_counts(values(spark, d), "kind")
 
@@ -142,6 +148,7 @@ SQL = {
     "typed_path": _S("type_name = 'Big' AND (note_path = 'parts/brand#12.md' OR note_path LIKE 'parts/brand#12.md/%')"),
     "typed_page": _S("list_contains(kind, 'ring') ORDER BY brand NULLS LAST, price DESC NULLS LAST, note_path, start_byte, node_id LIMIT 15 OFFSET 30"),
     "typed_page_list_sort": _S("type_name = 'Big' ORDER BY list_max(kind) DESC NULLS LAST, size NULLS LAST, note_path, start_byte, node_id LIMIT 25 OFFSET 5"),
+    "typed_selection": _N + "SELECT node_id, title, price AS cost, array_to_string(list_sort(kind), ',') AS words, nullif(brand, '') AS maker, size::DOUBLE AS extent FROM nd WHERE type_name = 'Big'",
     "typed_field_counts": _N + "SELECT k AS value_norm, count(DISTINCT node_id) AS nodes FROM (SELECT node_id, unnest(kind) AS k FROM nd) GROUP BY 1",
     "typed_summaries": _N + "SELECT type_name, count(*) AS nodes, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 11 = 0) AS issues, array_to_string(list(title ORDER BY note_path, start_byte)[1:3], '; ') AS preview FROM nd GROUP BY 1",
     "typed_totals": _F + "SELECT count(*) AS notes, count(*) FILTER (type <> '') AS typed, count(*) FILTER (type <> '' AND status = '') AS issues FROM n",

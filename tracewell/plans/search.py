@@ -106,6 +106,53 @@ def lane_graph(spark, d, best=None, links_of=None):
     return Q.evidence(out, "dst", "dst", "direct_link_out", "graph", F.lit(0.6))
 
 
+def _asked(spark, d):
+    """The query's vector: that of the first row, as no model is at hand."""
+    first = _vectors(spark, d).orderBy("vec_id").limit(1).collect()
+    return {int(first[0]["vec_id"]): [float(x) for x in first[0]["embedding"]]} if first and first[0]["embedding"] and first[0]["vec_id"] is not None else {}
+
+
+def lane_vector(spark, d, limit: int = 25):
+    """Notes by the likeness of their vectors to the query's, the best 25 as a search asks for; a vector is a chunk of the note with
+    its id, and the chunk is the handle."""
+    near = Q.nearest(_vectors(spark, d), "vec_id", "embedding", _asked(spark, d), limit).withColumn("score", F.round("score", 6))
+    met = near.join(notes(spark, d).select(F.col("doc_id").alias("vec_id"), "path"), "vec_id").withColumn("handle", F.concat("path", F.lit("#"), F.col("vec_id").cast("string")))
+    return Q.evidence(met, "handle", "path", "note_vector_similarity", "semantic", F.col("score"), F.lit("chunk"))
+
+
+def search_vector_lane(spark, d):
+    return lane_vector(spark, d).select("handle", "owner", "type", "channel", "score")
+
+
+def search_coalesced(spark, d):
+    """The vector and title lanes, a note's handles made one before ranking."""
+    both = Q.merged([lane_vector(spark, d), lane_title(spark, d)]).withColumn("whole_note", F.lit(True))
+    scores = K.channel_scores(K.coalesced(both))
+    return scores.select("handle", "owner", "channel", F.round("score", 6).alias("score"))
+
+
+def search_bm25_filtered(spark, d):
+    """Ranked with the filters inside the query: kinds, a path prefix, no tests. The statistics are those of all notes."""
+    fits = notes(spark, d).where(F.col("doc_kind").isin("note", "meeting", "runbook", "decision") & F.lower("path").rlike("^[a-m]") & ~S.is_test_path(F.col("path")))
+    return _bm25(spark, d).join(fits.select("doc_id", "path"), "doc_id").select("path", F.round("score", 6).alias("score"))
+
+
+def sort_packed_plans(spark, d):
+    """What of the best 50 notes goes into a budget of characters."""
+    top = _bm25(spark, d).join(notes(spark, d).select("doc_id", "n_chars"), "doc_id").orderBy(F.desc(F.round("score", 6)), "doc_id").limit(50)
+    plans = [{"id": r["doc_id"], "size": int(r["n_chars"] or 0), "utility": round(r["score"], 6)} for r in top.collect()]
+    return spark.createDataFrame([(i, p["id"], p["size"]) for i, p in enumerate(K.packed_plans(plans, 20_000))], "place int, doc_id long, size long")
+
+
+def sort_opened_tree(spark, d):
+    """The folders of code opened first for a tree of 40 lines: a folder counts its symbols; folders are few, and the best 5,000 are read."""
+    steps = F.split("path", "/")
+    folder = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("folder")
+    counted = anchors(spark, d).where("path like '%/%'").select(folder).groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(5_000)
+    scores = {r["folder"]: float(r["n"]) for r in counted.collect()}
+    return spark.createDataFrame(list(enumerate(K.opened_tree(scores, 40))), "place int, folder string")
+
+
 def lane_recency(spark, d):
     n = notes(spark, d).where(F.col("updated_at") >= F.lit("2026-09-01").cast("timestamp"))
     return Q.evidence(n, "path", "path", "query_specificity", "specificity", F.lit(0.3))
@@ -333,7 +380,14 @@ _weight = lambda intent, **kw: "CASE channel " + " ".join(f"WHEN '{c}' THEN {w}"
 _chunk = "SELECT * FROM intel_chunks_new QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, id DESC) = 1"
 _MANY = [Q.query_words(t) for t in ("offline sync tag", "schema drift edge", "budget cycle")]
 
+_TEST = r"(regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(lower(path), '(_test\.go|(^|/)test_[^/]*\.py|_test\.py|\.(test|spec)\.[jt]sx?|tests?\.cs|test\.php)$'))"
+_LANE = """asked AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), near AS (SELECT vec_id, list_cosine_similarity(v.embedding::DOUBLE[], asked.e::DOUBLE[]) AS s FROM embeddings v, asked QUALIFY row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) <= 25),
+vl AS (SELECT path || '#' || vec_id AS handle, path AS owner, least(greatest(round(s, 6), 0), 1) AS score FROM near JOIN documents ON doc_id = vec_id)"""
+
 SQL = {
+    "search_vector_lane": f"WITH {_LANE} SELECT handle, owner, 'note_vector_similarity' AS type, 'semantic' AS channel, score FROM vl",
+    "search_coalesced": f"WITH {_LANE}, tl AS (SELECT path AS owner, c FROM (SELECT path, {_cov(_tok('title'))} AS c FROM documents) WHERE c > 0) SELECT coalesce(handle, owner) AS handle, owner, 'lexical' AS channel, round(c, 6) AS score FROM tl LEFT JOIN vl USING (owner) UNION ALL SELECT handle, owner, 'semantic', score FROM vl WHERE score > 0",
+    "search_bm25_filtered": _BM + f" SELECT path, round(score, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE doc_kind IN ('note', 'meeting', 'runbook', 'decision') AND regexp_matches(lower(path), '^[a-m]') AND NOT {_TEST}",
     "search_bm25": _BM + " SELECT doc_id, round(score, 6) AS score FROM bm",
     "search_bm25_top": _BM + " SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY 2 DESC, 1 LIMIT 20",
     "search_vector_top": _VEC + " SELECT query, vec_id, round(s, 6) AS score FROM nr WHERE k <= 10",

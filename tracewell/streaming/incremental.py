@@ -21,9 +21,10 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, per_tick: in
     return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
-def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over all that is there now; progress is kept in the shared folder, so a restart goes on from the last tick."""
-    progress = f"{own_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
+def drained(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append", progress: str | None = None) -> None:
+    """Run a stream over all that is there now. progress: a lasting folder all executors share; named again, a run goes on from the last
+    tick that was handled. Without one the progress is that of this run alone and goes with the application."""
+    progress = progress or f"{own_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
