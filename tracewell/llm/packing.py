@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tracewell.runtime import written
 
-SALTS = 256
+#: Pieces of one length that are ranked in one task, about: the number of salts grows with the corpus.
+RANKED = 20_000
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -92,7 +93,7 @@ def packed(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_
     pieces = items.select("item", "n", F.explode(full).alias("piece_no")).select(
         "item", "piece_no", (F.col("piece_no") * capacity).alias("piece_start"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).alias("length")
     )
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece_no"), F.lit(SALTS)))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece_no"), F.lit(max(16, -(-items.count() // RANKED)))))
     filled = pieces.where(F.col("length") > 0)
     by_salt = written(filled.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("alike"))).df
     # At most one row per length up to the capacity comes to the driver.
