@@ -109,8 +109,8 @@ class Model:
         self.sub = int(np.clip(round(n / LIST / k), 1, min(SUB, len(rest))))
         self.fine = _kmeans(rest, self.sub, 6, seed, False) if self.sub > 1 else np.zeros((1, self.dim), np.float32)
         self._group(weight, n, first_group)
-        # So many lists; beyond LISTS of them, more by the fourth root.
-        self.probes = int(min(k * self.sub, max(12, round(0.9 * k**0.5 * self.sub**0.25))))
+        # So many lists, more of them where no lowest cosine narrows the search; beyond LISTS, more by the fourth root.
+        self.probes = int(min(k * self.sub, max(12, round((1.4 if floor is None else 0.9) * k**0.5 * self.sub**0.25))))
         self.parts = -(-self.dim // part)
         lists = self.lists(sample, label)
         rest = self.pad(sample - self.centre(lists))[:32_768]
