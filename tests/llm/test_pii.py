@@ -76,3 +76,12 @@ def test_repeated_rows_give_their_items_each(spark):
     got = P.items(df).groupBy("doc_id").count().collect()
     once = {r.doc_id: r["count"] for r in P.items(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()}
     assert {r.doc_id: r["count"] for r in got if r.doc_id < 50} == {k: 2 * v for k, v in once.items() if k < 50}
+
+
+def test_eleven_digits():
+    """One leading 0 is a phone number's; a tax number may begin with two, or with none."""
+    finder = P.Finder({"given": set(P.GIVEN), "family": set(), "town": set()})
+    kinds = lambda t: {kind for kind, a, b, *_ in finder.candidates(t) if b - a >= 11}
+    assert kinds("Tel. 07700900457.") == {"phone"}
+    for number in ("00095882011", "12095882011", "00 529 465 110"):
+        assert "id_number" in kinds(f"Tax id {number}, invoice")

@@ -181,10 +181,11 @@ _FORMS = [
     r"[2-9]\d\d-\d{4}",
 ]
 _PHONE = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<p{k}>{f})" for k, f in enumerate(_FORMS)) + ")")
+# A tax number's eleven digits don't begin like a national phone number, with one 0.
 _IDS = [
     ("ssn", re.compile(r"\d{3}([-. ]?)\d{2}\1\d{4}")),
     ("ni", re.compile(r"[A-Z]{2}[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[A-Z]", re.I)),
-    ("tax", re.compile(r"[1-9]\d([ /]?)\d{3}\1\d{3}[ ]?\d{3}|\d\d/\d{3}/\d{5,6}")),
+    ("tax", re.compile(r"(?!0[1-9])\d\d([ /]?)\d{3}\1\d{3}[ ]?\d{3}|\d\d/\d{3}/\d{5,6}")),
     ("nir", re.compile(r"[12]([ .]?)\d\d\1\d\d\1\d[\dAB]\1\d{3}\1\d{3}(?:\1\d\d)?")),
     ("dni", re.compile(r"\d\d([. ]?)\d{3}\1\d{3}[ -]?[A-Z]", re.I)),
     ("pass", re.compile(r"(?:P<)?[A-Z]{1,2} ?\d{3} ?\d{4}|(?:P<)[A-Z]{2,3}\d{5,7}[A-Z]?|[A-Z]\d\d[A-Z]{2}\d{4}|[A-Z]{2}\d{6}[A-Z]")),
